@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 U64 = np.uint64
 #: Odd multipliers for mixing.
 M1, M2, M3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
-#: Words that one flush of a mapper holds at most (a longer text is a flush of its own), and texts; owners are uint16.
-FLUSH_WORDS, FLUSH_TEXTS, FLUSH_BYTES = 3_000_000, 60_000, 16_000_000
+#: Texts and bytes of text that one flush of a mapper holds at most (a longer text is a flush of its own); owners are uint16.
+FLUSH_TEXTS, FLUSH_BYTES = 60_000, 6_000_000
 BASE = 0x2545F4914F6CDD1D | 1
 
 BYTES = np.arange(256, dtype=np.uint8)
