@@ -18,7 +18,7 @@ U64 = np.uint64
 #: Odd multipliers for mixing.
 M1, M2, M3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 #: Texts and bytes of text that one flush of a mapper holds at most (a longer text is a flush of its own); owners are uint16.
-FLUSH_TEXTS, FLUSH_BYTES = 60_000, 6_000_000
+FLUSH_TEXTS, FLUSH_BYTES = 60_000, 4_000_000
 BASE = 0x2545F4914F6CDD1D | 1
 
 BYTES = np.arange(256, dtype=np.uint8)

@@ -1,4 +1,8 @@
-"""Connected components of an undirected graph by label spreading with pointer jumping, all in DataFrames."""
+"""Connected components of an undirected graph by contraction, all in DataFrames.
+
+Each round every node takes the least node within two steps (in an order that a hash deals anew each round), and edges
+are drawn between the nodes taken. Stars and groups of copies shrink to one node in a round, so few edges go on.
+"""
 
 from __future__ import annotations
 
@@ -8,34 +12,39 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 
-def spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """One round: a node takes the least label about it, then its label's label.
+def _apart(edges: DataFrame) -> DataFrame:
+    """Both directions of each edge once; no loops."""
+    e = edges.filter("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+    return checkpointed(e.select("e.a", "e.b").distinct())
 
-    edges: (a, b), each edge in both directions; labels: (a, label), one row a node.
-    The groupBy combines on the map side, so a hub's edges are many rows but never one group in a task.
-    """
-    heard = edges.join(labels, "a").groupBy(F.col("b").alias("a")).agg(F.min("label").alias("heard"))
-    lower = labels.join(heard, "a", "left").select("a", F.least("label", "heard").alias("label"))
-    lower = checkpointed(lower)
-    ahead = lower.select(F.col("a").alias("label"), F.col("label").alias("next"))
-    return lower.join(ahead, "label", "left").select("a", F.coalesce(F.least("label", "next"), "label").alias("label"))
+
+def _taken(edges: DataFrame, salt: int) -> DataFrame:
+    """(a, label) for each node. The groupings combine on the map side: a hub is one row a task, not a group."""
+    rank = F.struct(F.xxhash64("b", F.lit(salt)).alias("rank"), F.col("b").alias("node"))
+    own = F.struct(F.xxhash64("a", F.lit(salt)).alias("rank"), F.col("a").alias("node"))
+    near = edges.groupBy("a").agg(F.min(rank).alias("low")).select("a", F.least("low", own).alias("low"))
+    near = checkpointed(near)
+    heard = edges.join(near.select(F.col("a").alias("b"), "low"), "b").groupBy("a").agg(F.min("low").alias("far"))
+    return checkpointed(near.join(heard, "a").select("a", F.least("low", "far")["node"].alias("label")))
 
 
-def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(a, label) for every node of edges (a, b): label is the least node of its component.
+def components(edges: DataFrame) -> DataFrame:
+    """(a, label) for the nodes of edges (a, b): two nodes have one label if and only if they are connected.
 
-    With rounds, stops after so many: equal labels then still mean one component, but not the other way round.
-    No edges give no rows. Loops and repeated edges do no harm; nodes must not be null.
+    Labels are nodes. A node whose edges are all loops isn't returned; no edges give no rows. Repeated edges do no
+    harm; nodes are longs and not null.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = checkpointed(both)
-    labels = checkpointed(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")))
-    done = 1
-    while rounds is None or done < rounds:
-        after = checkpointed(spread(both, labels))
-        done += 1
-        changed = after.join(labels.withColumnRenamed("label", "was"), "a").filter("label <> was").limit(1).count()
-        labels = after
-        if not changed:
-            break
-    return labels
+    left, labels, salt = _apart(edges), None, 0
+    while labels is None or not left.isEmpty():
+        to = _taken(left, salt)
+        ends = left.join(to, "a").select(F.col("label").alias("x"), "b").join(to.select(F.col("a").alias("b"), F.col("label").alias("y")), "b")
+        left = _apart(ends.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        labels = to if labels is None else relabelled(labels, to)
+        salt += 1
+    return checkpointed(labels)
+
+
+def relabelled(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """labels whose labels have got labels themselves."""
+    onward = more.select(F.col("a").alias("label"), F.col("label").alias("onward"))
+    return labels.join(onward, "label", "left").select("a", F.coalesce("onward", "label").alias("label"))

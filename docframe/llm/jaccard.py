@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACES, U64, Words, checkpointed, flushes, folded, mix, pack, rows_of, runs, shuffle_parts, sized, unpack, utf8, written
-from .components import components
+from .components import components, relabelled
 
 #: Shingles that so many texts of one flush share aren't sent with their owners; they rank last everywhere.
 HOT = 4096
@@ -144,7 +144,7 @@ def _count(parts: int, id_type: pa.DataType):
                     hots.append(token)
                     continue
                 tokens.append(token)
-                owners.append(own + at)
+                owners.append((own + at).astype(np.int32))
                 classes.append(cls)
                 sizes.append(n)
                 at += len(cls)
@@ -153,7 +153,7 @@ def _count(parts: int, id_type: pa.DataType):
         token, owner, cls, n = map(np.concatenate, (tokens, owners, classes, sizes))
         del tokens, owners
         cls, same, number = np.unique(cls, return_index=True, return_inverse=True)
-        n, owner = n[same], number[owner]
+        n, owner = n[same], number.astype(np.int32)[owner]
         order = np.lexsort((owner, token))
         token, owner = token[order], owner[order]
         new = np.ones(len(token), bool)
@@ -186,7 +186,7 @@ def _order(percent: int, id_type: pa.DataType):
             for row in batch.filter(pa.array(kinds == BACK)).to_pylist():
                 token, own, cls, n = _opened(row)
                 tokens.append(token)
-                owners.append(own + at)
+                owners.append((own + at).astype(np.int32))
                 classes.append(cls)
                 sizes.append(n)
                 dfs.append(unpack(row["df"], np.uint32))
@@ -196,7 +196,7 @@ def _order(percent: int, id_type: pa.DataType):
         token, owner, cls, n, df = map(np.concatenate, (tokens, owners, classes, sizes, dfs))
         del tokens, owners, dfs
         cls, same, number = np.unique(cls, return_index=True, return_inverse=True)
-        n, owner = n[same].astype(np.int64), number[owner]
+        n, owner = n[same].astype(np.int64), number.astype(np.int32)[owner]
         order = np.lexsort((token, df, owner))
         token, owner, df = token[order], owner[order], df[order]
         new = np.ones(len(token), bool)
@@ -229,7 +229,7 @@ def _byte(h: str, i: int):
 
 
 def _pairs(left: DataFrame, on: list[str], percent: int, apart: bool = False) -> DataFrame:
-    """Pairs (a, b), a < b, that agree on the columns `on` and pass the filters."""
+    """Pairs (one, other), one < other, that agree on the columns `on` and pass the filters."""
     cols = [*on, "cls", "n", "pos", "h", *(["label"] if apart else [])]
     a = left.select(*on, *(F.col(c).alias(f"a_{c}") for c in cols if c not in on))
     b = left.select(*on, *(F.col(c).alias(f"b_{c}") for c in cols if c not in on))
@@ -249,15 +249,15 @@ def _pairs(left: DataFrame, on: list[str], percent: int, apart: bool = False) ->
     a, b = a.alias("x"), b.alias("y")
     for c in on:
         keys = keys & (F.col(f"x.{c}") == F.col(f"y.{c}"))
-    return a.join(b, keys).select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct()
+    return a.join(b, keys).select(F.col("a_cls").alias("one"), F.col("b_cls").alias("other")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Each pair once, with link: whether it reaches the similarity."""
-    a = sets.select(F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("toks").alias("a_toks"))
-    b = sets.select(F.col("cls").alias("b"), F.col("n").alias("b_n"), F.col("toks").alias("b_toks"))
-    both = pairs.join(a, "a").join(b, "b").withColumn("o", F.size(F.array_intersect("a_toks", "b_toks")))
-    return both.select("a", "b", (F.col("o") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("o")) * percent).alias("link"))
+    a = sets.select(F.col("cls").alias("one"), F.col("n").alias("a_n"), F.col("toks").alias("a_toks"))
+    b = sets.select(F.col("cls").alias("other"), F.col("n").alias("b_n"), F.col("toks").alias("b_toks"))
+    both = pairs.join(a, "one").join(b, "other").withColumn("o", F.size(F.array_intersect("a_toks", "b_toks")))
+    return both.select("one", "other", (F.col("o") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("o")) * percent).alias("link"))
 
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -288,19 +288,24 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         chunks = F.pmod(F.xxhash64("cls", F.lit(salt)), F.ceil(F.col("g") / CHUNK))
         return _pairs(prefix.withColumn("chunk", chunks), ["token", "chunk"], percent)
 
-    first = chunked(0).union(chunked(1).join(prefix.filter(F.col("g") > CHUNK).select("cls").distinct(), F.col("a") == F.col("cls"), "left_semi")).distinct()
+    first = chunked(0).union(chunked(1).join(prefix.filter(F.col("g") > CHUNK).select("cls").distinct(), F.col("one") == F.col("cls"), "left_semi")).distinct()
     verified = checkpointed(_verified(first, sets, percent))
-    links = verified.filter("link").select("a", "b")
+    links = verified.filter("link").select(F.col("one").alias("a"), F.col("other").alias("b"))
 
     # what chunks left out: shingles of more than one chunk whose owners aren't all connected yet
-    labels = components(links, rounds=4).select(F.col("a").alias("cls"), "label")
+    known = components(links)
+    labels = known.select(F.col("a").alias("cls"), "label")
     wide = prefix.filter(F.col("g") > CHUNK).join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     torn = wide.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     across = _pairs(wide.join(torn.select("token"), "token"), ["token"], percent, apart=True)
-    across = across.join(verified.select("a", "b"), ["a", "b"], "left_anti")
-    links = checkpointed(links.union(_verified(across, sets, percent).filter("link").select("a", "b")))
+    across = across.join(verified.select("one", "other"), ["one", "other"], "left_anti")
+    more = _verified(across, sets, percent).filter("link").select("one", "other")
+    # these join components: the label of a document without links is itself
+    ends = more.join(known.select(F.col("a").alias("one"), F.col("label").alias("x")), "one", "left").join(known.select(F.col("a").alias("other"), F.col("label").alias("y")), "other", "left")
+    joins = components(ends.select(F.coalesce("x", "one").alias("a"), F.coalesce("y", "other").alias("b")))
+    new = joins.join(known.select("a"), "a", "left_anti").unionByName(relabelled(known, joins))
+    labels = checkpointed(new.select(F.col("a").alias("cls"), "label"))
 
-    labels = components(links).select(F.col("a").alias("cls"), "label")
     joined = members.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = joined.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return joined.join(least, "label", "left").select(
