@@ -6,6 +6,8 @@ string only to be split. Word hashes are polynomials modulo 2**64, mixed afterwa
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 
 import numpy as np
@@ -153,6 +155,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), off
 
 
+def trim() -> None:
+    """Gives freed memory back to the system; Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def flushes(batches, text: str):
     """Cuts record batches into slices that hold FLUSH_BYTES of text or one text, so that memory is bounded."""
     for batch in batches:
@@ -163,6 +172,7 @@ def flushes(batches, text: str):
             to = min(max(to, at + 1), n, at + FLUSH_TEXTS)
             yield batch.slice(at, to - at)
             at = to
+        trim()
 
 
 # --- blobs ---------------------------------------------------------------------------------------------------------

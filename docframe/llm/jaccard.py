@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, U64, Words, checkpointed, flushes, folded, mix, pack, rows_of, runs, shuffle_parts, sized, unpack, utf8, written
+from .common import LOWER, SPACES, U64, Words, checkpointed, flushes, folded, mix, pack, rows_of, runs, shuffle_parts, sized, trim, unpack, utf8, written
 from .components import components, relabelled
 
 #: Shingles that so many texts of one flush share aren't sent with their owners; they rank last everywhere.
@@ -148,6 +148,7 @@ def _count(parts: int, id_type: pa.DataType):
                 classes.append(cls)
                 sizes.append(n)
                 at += len(cls)
+        trim()
         if not tokens:
             return
         token, owner, cls, n = map(np.concatenate, (tokens, owners, classes, sizes))
@@ -191,6 +192,7 @@ def _order(percent: int, id_type: pa.DataType):
                 sizes.append(n)
                 dfs.append(unpack(row["df"], np.uint32))
                 at += len(cls)
+        trim()
         if not tokens:
             return
         token, owner, cls, n, df = map(np.concatenate, (tokens, owners, classes, sizes, dfs))

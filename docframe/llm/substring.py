@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, SAME, SPACES, U64, Words, flushes, folded, mix, pack, rows_of, runs, shuffle_parts, sized, unpack, utf8
+from .common import M1, SAME, SPACES, U64, Words, flushes, folded, mix, pack, rows_of, runs, shuffle_parts, sized, trim, unpack, utf8
 
 MARGIN, LONGEST = 3, 4  # words that surroundings can change on either side; longest symbol of two rounds
 NONE = U64(0xFFFFFFFFFFFFFFFF)
@@ -115,6 +115,7 @@ def _opened(batches, keep=lambda row: True):
             own, rk = unpack(row["own"], np.uint32).astype(np.int64), unpack(row["rk"], np.int64)
             parts.append((unpack(row["tok"], U64, True) if row["tok"] is not None else None, own + at, unpack(row["pos"], np.uint32) if row["pos"] is not None else None, rk, unpack(row["id"], np.int64)))
             at += len(rk)
+    trim()
     if not parts:
         return None
     return [np.concatenate([p[i] for p in parts]) if parts[0][i] is not None else None for i in range(5)]
