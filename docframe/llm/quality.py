@@ -39,38 +39,41 @@ def _repeated(w: Column) -> Column:
     return F.aggregate(let(windows, twice), start, step, lambda acc: acc["total"])
 
 
-def measured(docs: DataFrame, text_col: str, *keep: Column) -> DataFrame:
-    """keep, and the measures of each text. Null texts measure as empty ones."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def measures(text: Column) -> Column:
+    """A struct of the measures of a text; a null text measures as an empty one.
+
+    What is used twice is bound by let(): the optimizer may move or copy the whole expression, never its parts.
+    """
+    text = F.coalesce(text, F.lit(""))
     bare = F.btrim(text, F.lit(BLANKS))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    split = docs.select(
-        *keep,
-        F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANK)).alias("w"),
-        F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))).alias("lines"),
-    )
-    w = F.col("w")
-    hashes = F.when(F.size(w) > 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
-    alike = F.coalesce(let(hashes, lambda g: F.size(F.array_distinct(g)) < F.size(g)), F.lit(False))  # no equal hash: no equal window
-    names = [c for c in split.columns if c not in ("w", "lines")]
-    return split.select(
-        *names,
-        F.size(w).cast("long").alias("n_words"),
-        F.col("lines.n").cast("long").alias("n_lines"),
-        (F.col("lines.n") - F.col("lines.d")).cast("long").alias("n_dup_lines"),
-        F.when(alike, _repeated(w)).otherwise(0).cast("long").alias("n_repeat_words"),
-    )
-
-
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-
-
-def failed() -> Column:
+    words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANK))
+
+    def of_words(w: Column) -> Column:
+        hashes = F.when(F.size(w) > 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
+        alike = F.coalesce(let(hashes, lambda g: F.size(F.array_distinct(g)) < F.size(g)), F.lit(False))  # no equal hash: no equal window
+        return F.struct(F.size(w).cast("long").alias("n_words"), F.when(alike, _repeated(w)).otherwise(0).cast("long").alias("n_repeat_words"))
+
+    def all_of(w: Column, x: Column) -> Column:
+        return F.struct(
+            w["n_words"].alias("n_words"),
+            F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
+            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            F.size(x).cast("long").alias("n_lines"),
+            (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            w["n_repeat_words"].alias("n_repeat_words"),
+        )
+
+    return let(let(words, of_words), lambda w: let(lines, lambda x: all_of(w, x)))
+
+
+def base_failed(m: Column) -> Column:
+    return (m["n_words"] < 50) | (m["n_repeat_words"] * 100 > m["n_words"] * 50)
+
+
+def failed(m: Column) -> Column:
     """Any rule: too short, repetitive, full of symbols, or with many repeated lines."""
-    return base_failed() | (F.col("n_symbols") * 10 > F.col("word_chars")) | (F.col("n_dup_lines") * 10 > F.col("n_lines") * 3)
+    return base_failed(m) | (m["n_symbols"] * 10 > m["word_chars"]) | (m["n_dup_lines"] * 10 > m["n_lines"] * 3)
 
 
 def shrunk_hosts(marks: DataFrame) -> DataFrame:
@@ -99,19 +102,17 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     Null texts count as empty, and fail. Null hosts are one host. Repeated ids and rows each get a row. Other columns
     are not read. An empty table gives an empty table.
     """
-    m = measured(docs, text_col, F.col(id_col).alias("id"), F.col(host_col).alias("host"))
-    m = checkpointed(m.withColumns({"base_failed": base_failed(), "failed": failed()}))
-    bad = bad_hosts(m, max_rate).withColumn("bad", F.lit(True)).withColumnRenamed("host", "bad_host")
+    m = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), measures(F.col(text_col)).alias("m")))
+    bad = bad_hosts(m.select("host", failed(F.col("m")).alias("failed")), max_rate).withColumn("bad", F.lit(True)).withColumnRenamed("host", "bad_host")
     out = m.join(bad, F.col("host").eqNullSafe(F.col("bad_host")), "left")
-    kept = ~F.col("base_failed") & F.col("bad").isNull()
-    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    fails = base_failed(F.col("m"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return out.select(F.col("id").alias(id_col), *(F.col("m")[c].alias(c) for c in names), fails.alias("base_failed"), (~fails & F.col("bad").isNull()).alias("kept"))
 
 
 def kept(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = 0.9) -> DataFrame:
     """The rows of docs that judge() keeps, with docs' columns. Texts are never shuffled unless the bad hosts are many."""
-    columns = docs.columns
-    row = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row")
-    m = measured(docs, text_col, row, F.col(host_col).alias("host"))
-    bad = bad_hosts(measured(docs, text_col, F.col(host_col).alias("host")).select("host", failed().alias("failed")), max_rate).withColumnRenamed("host", "bad_host")
-    good = m.filter(~base_failed()).select("_row", "host")
-    return good.join(bad, F.col("host").eqNullSafe(F.col("bad_host")), "left_anti").select("_row.*")
+    marks = docs.select(F.col(host_col).alias("host"), let(measures(F.col(text_col)), failed).alias("failed"))
+    bad = bad_hosts(marks, max_rate).select(F.col("host").alias("_bad_host"))
+    good = docs.filter(let(measures(F.col(text_col)), lambda m: ~base_failed(m)))
+    return good.join(bad, F.col(host_col).eqNullSafe(F.col("_bad_host")), "left_anti")
