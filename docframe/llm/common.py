@@ -20,7 +20,7 @@ U64 = np.uint64
 #: Odd multipliers for mixing.
 M1, M2, M3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 #: Texts and bytes of text that one flush of a mapper holds at most (a longer text is a flush of its own); owners are uint16.
-FLUSH_TEXTS, FLUSH_BYTES = 60_000, 4_000_000
+FLUSH_TEXTS, FLUSH_BYTES, HASH_BYTES = 60_000, 4_000_000, 500_000
 BASE = 0x2545F4914F6CDD1D | 1
 
 BYTES = np.arange(256, dtype=np.uint8)
@@ -91,46 +91,54 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of some texts: hash, start, end (bytes in data), and first (word index of each text, and the end)."""
+    """The words of some texts: hash, start, end (bytes in data), text, and first (word index of each text, and the end).
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, case: np.ndarray, sep: np.ndarray):
+    data is the texts' bytes as `case` maps them, `sep` says which bytes separate words. Hashing works through
+    HASH_BYTES of text, or one text, at a time. stems: hashes of each word's first bytes, by their number.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, case: np.ndarray, sep: np.ndarray, stems: tuple[int, ...] = ()):
         base = int(offsets[0])
-        x = case[data[base : int(offsets[-1])]]
-        off = offsets.astype(np.int64) - base
-        n = len(x)
-        self.n_texts, self.data, self.offsets = len(off) - 1, x, off
-        if not n:
-            self.start = self.end = np.zeros(0, np.int64)
-            self.hash, self.first = np.zeros(0, U64), np.zeros(len(off), np.int64)
-            self.text = np.zeros(0, np.int64)
-            return
-        inside = ~sep[x]
-        before = np.empty(n, bool)
-        before[1:], before[0] = inside[:-1], False
-        before[off[:-1][off[:-1] < n]] = False
-        self.start = np.flatnonzero(inside & ~before)
-        after = np.empty(n, bool)
-        after[:-1], after[-1] = inside[1:], False
-        after[off[1:][off[1:] > 0] - 1] = False
-        self.end = np.flatnonzero(inside & ~after) + 1
-        up, down = powers(n + 1)
-        sums = np.empty(n + 1, U64)
-        sums[0] = 0
-        np.cumsum((x.astype(U64) + U64(1)) * up[:n], out=sums[1:])
-        self._sums, self._down = sums, down
-        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start] + M1)
+        self.data = case[data[base : int(offsets[-1])]]
+        self.offsets = off = offsets.astype(np.int64) - base
+        self.n_texts = len(off) - 1
+        starts, ends, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+        cut: dict[int, list[np.ndarray]] = {k: [np.zeros(0, U64)] for k in stems}
+        at = 0
+        while at < self.n_texts:
+            to = max(int(np.searchsorted(off, off[at] + HASH_BYTES, "right")) - 1, at + 1)
+            lo, hi = int(off[at]), int(off[to])
+            if hi > lo:
+                start, end = _bounds(~sep[self.data[lo:hi]], off[at : to + 1] - lo)
+                up, down = powers(hi - lo + 1)
+                sums = np.empty(hi - lo + 1, U64)
+                sums[0] = 0
+                np.cumsum((self.data[lo:hi].astype(U64) + U64(1)) * up[: hi - lo], out=sums[1:])
+                hashes.append(mix((sums[end] - sums[start]) * down[start] + M1))
+                for k, held in cut.items():
+                    held.append(mix((sums[np.minimum(start + k, end)] - sums[start]) * down[start] + U64(k)))
+                starts.append(start + lo)
+                ends.append(end + lo)
+            at = to
+        self.start, self.end, self.hash = np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
+        self.stems = {k: np.concatenate(v) for k, v in cut.items()}
         self.first = np.searchsorted(self.start, off)
         self.text = np.repeat(np.arange(self.n_texts), np.diff(self.first))
 
     def __len__(self) -> int:
         return len(self.start)
 
-    def stems(self, size: int) -> np.ndarray:
-        """Hash of each word's first `size` bytes; shorter words hash whole."""
-        if not len(self):
-            return self.hash
-        end = np.minimum(self.start + size, self.end)
-        return mix((self._sums[end] - self._sums[self.start]) * self._down[self.start] + U64(size))
+
+def _bounds(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of word bytes; texts end at off."""
+    n = len(inside)
+    before = np.empty(n, bool)
+    before[1:], before[0] = inside[:-1], False
+    before[off[:-1][off[:-1] < n]] = False
+    after = np.empty(n, bool)
+    after[:-1], after[-1] = inside[1:], False
+    after[off[1:][off[1:] > 0] - 1] = False
+    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
 def folded(h: np.ndarray, k: int) -> np.ndarray:
@@ -155,6 +163,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), off
 
 
+def lengths(column: pa.Array) -> np.ndarray:
+    """Bytes before each text, and in all."""
+    n = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+
+
 def trim() -> None:
     """Gives freed memory back to the system; Python workers live on between tasks."""
     pa.default_memory_pool().release_unused()
@@ -165,7 +179,7 @@ def trim() -> None:
 def flushes(batches, text: str):
     """Cuts record batches into slices that hold FLUSH_BYTES of text or one text, so that memory is bounded."""
     for batch in batches:
-        _, off = utf8(batch.column(batch.schema.get_field_index(text)))
+        off = lengths(batch.column(batch.schema.get_field_index(text)))
         at, n = 0, batch.num_rows
         while at < n:
             to = int(np.searchsorted(off, off[at] + FLUSH_BYTES, "right")) - 1

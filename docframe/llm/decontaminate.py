@@ -35,7 +35,7 @@ def item_windows(text: str | None, window: int) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + window]) + b" " for i in range(max(1, len(words) - window + 1))]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def automaton(items: tuple[tuple[str, tuple[bytes, ...]], ...]):
     held: dict[bytes, set[str]] = {}
     for item, windows in items:
@@ -107,6 +107,7 @@ def _scan(text_col: str, shared: list, schema: pa.Schema, spans: bool):
             if spans:
                 made.append(pa.array(places, schema.field("spans").type))
             yield pa.RecordBatch.from_arrays([*cols, *made], schema=schema)
+        automaton.cache_clear()  # workers live on
 
     return run
 

@@ -26,7 +26,7 @@ ALPHA, L1 = 0.5, 3.0
 def features(words: Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(place, text) of every n-gram, repeats included."""
     h, text = words.hash, words.text
-    places, owners = [h, *(words.stems(k) for k in STEMS)], [text] * (1 + len(STEMS))
+    places, owners = [h, *(words.stems[k] for k in STEMS)], [text] * (1 + len(STEMS))
     for gap, salt in ((1, 0x632BE59B), (2, 0x85157AF5)):
         good = text[:-gap] == text[gap:]
         places.append(mix((h[:-gap] * U64(0xD1342543DE82EF95) + h[gap:]) ^ U64(salt))[good])
@@ -67,7 +67,7 @@ def _train(bits: int, epochs: int, l1: float):
     def run(batches):
         rows: list[tuple[np.ndarray, int]] = []
         for batch in flushes(batches, "text"):
-            words = Words(*utf8(batch.column(0)), LOWER, NOT_ALNUM)
+            words = Words(*utf8(batch.column(0)), LOWER, NOT_ALNUM, STEMS)
             rows += zip(by_text(*features(words, bits), words.n_texts, bits), batch.column(1).to_pylist(), strict=True)
         bias = 1 << bits
         model = Ftrl(bias + 1, l1=l1)
@@ -106,7 +106,7 @@ def _score(model, bits: int):
         table = np.zeros((1 << bits) + 1)
         table[places] = weights
         for batch in flushes(batches, "text"):
-            words = Words(*utf8(batch.column(1)), LOWER, NOT_ALNUM)
+            words = Words(*utf8(batch.column(1)), LOWER, NOT_ALNUM, STEMS)
             place, owner = features(words, bits)
             good = table[place] != 0
             both = np.unique((owner[good].astype(np.int64) << bits) | place[good])
