@@ -1,4 +1,5 @@
 """The registered queries and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .catalogue import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
