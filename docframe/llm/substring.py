@@ -284,7 +284,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Returns a row for each row of docs: (id_col, n_words, n_removed, kept_sha256[, kept_text]); the kept words are
     joined by one space. Other columns are not read. id_col is integral. Null and word-less texts have no words; rows
     with a null id neither remove nor lose words; rows that share an id don't remove each other's; windows repeated
-    within a document stay unless an earlier document holds them. An empty table gives an empty table. width is 8 or
+    within a document stay unless an earlier document holds them. An empty table gives an empty table. width is 13 or
     more, so that a window has an interior.
     """
     if width < 2 * MARGIN + LONGEST + 3:
