@@ -9,7 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import predicate, tokens
+from ..functions import predicate
+
+
+#: What tokens are: see functions.tokens.
+TOKEN = "[a-z]+|[0-9]+"
 
 
 def text_search(df: DataFrame, keyword: str, order: str, limit: int = 50, columns: list[str] | None = None) -> DataFrame:
@@ -26,12 +30,12 @@ def bm25(df: DataFrame, id_col: str, text_col: str, query: str, k1: float = 1.5,
     """
     import re
 
-    terms = re.findall("[a-z]+|[0-9]+", query.lower())
+    terms = re.findall(TOKEN, query.lower())
     if not terms:
         return df.select(id_col, F.lit(0.0).alias("score")).limit(0)
     distinct = sorted(set(terms))
-    base = df.select(F.col(id_col), tokens(F.coalesce(text_col, F.lit(""))).alias("t"))
-    counts = base.select(id_col, F.size("t").alias("dl"), *(_occurrences(F.col("t"), w).alias(f"tf{i}") for i, w in enumerate(distinct)))
+    low = F.lower(F.coalesce(text_col, F.lit("")))
+    counts = df.select(id_col, F.regexp_count(low, F.lit(TOKEN)).alias("dl"), *(_occurrences(low, w).alias(f"tf{i}") for i, w in enumerate(distinct)))
     # one row: number of documents, mean length, document frequencies
     s = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(distinct)))).first()
     n, avgdl = s["n"], s["avgdl"] or 1.0
@@ -44,8 +48,10 @@ def bm25(df: DataFrame, id_col: str, text_col: str, query: str, k1: float = 1.5,
     return counts.filter(reduce(lambda x, y: x | y, (F.col(f"tf{i}") > 0 for i in range(len(distinct))))).select(id_col, score.alias("score"))
 
 
-def _occurrences(t: Column, word: str) -> Column:
-    return F.size(t) - F.size(F.array_remove(t, word))
+def _occurrences(text: Column, word: str) -> Column:
+    """How many tokens of a text in lower case are the word, without building an array of all tokens."""
+    kind = "[0-9]" if word[0].isdigit() else "[a-z]"
+    return F.regexp_count(text, F.lit(f"(?<!{kind}){word}(?!{kind})"))
 
 
 def top(scored: DataFrame, id_col: str, k: int, score: str = "score", ascending: bool = False) -> DataFrame:
