@@ -104,14 +104,12 @@ def _blobs(token, owner, rk, ids, parts: np.ndarray, n_parts: int, pos=None, gon
     return out
 
 
-def _opened(batches, keep=lambda row: True):
+def _opened(batches):
     """All blobs of a partition as (token, owner, pos) and the owners' (rk, id)."""
     parts: list[tuple] = []
     at = 0
     for batch in batches:
         for row in batch.to_pylist():
-            if not keep(row):
-                continue
             own, rk = unpack(row["own"], np.uint32).astype(np.int64), unpack(row["rk"], np.int64)
             parts.append((unpack(row["tok"], U64, True) if row["tok"] is not None else None, own + at, unpack(row["pos"], np.uint32) if row["pos"] is not None else None, rk, unpack(row["id"], np.int64)))
             at += len(rk)
@@ -134,7 +132,9 @@ def _columns(batch: pa.RecordBatch):
 
 
 def _name(width: int, parts: int):
-    """Each text's anchor names, once."""
+    """Each text's anchor names, once. Names that two ids of a flush hold go back to their owners at once; two entries
+    of theirs, of the least and the greatest id, go on to tell other flushes. So a name that very many texts hold is
+    two entries a flush in the task that counts it."""
 
     def run(batches):
         for batch in flushes(batches, "text"):
@@ -145,21 +145,41 @@ def _name(width: int, parts: int):
             place = place[known[words.text[place]]]
             if len(place):
                 owner = words.text[place]
-                order = np.lexsort((owner, names[place]))
+                order = np.lexsort((owner, ids[owner], names[place]))
                 token, owner = names[place][order], owner[order]
                 new = np.ones(len(token), bool)
                 new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
                 token, owner = token[new], owner[new]
-                yield from sized(_blobs(token, owner, rk, ids, np.searchsorted(_edges(48, parts), token, "right"), parts), WIRE_ARROW)
+                heads = runs(token)
+                ends = np.append(heads[1:], len(token)) - 1
+                here = np.repeat(ids[owner[heads]] < ids[owner[ends]], ends - heads + 1)
+                if here.any():
+                    yield from sized(_to_owner(owner[here], rk, ids, parts, token=token[here], gone=True), WIRE_ARROW)
+                on = ~here
+                on[heads] = on[ends] = True
+                token, owner = token[on], owner[on]
+                yield from sized(_blobs(token, owner, rk, ids, np.searchsorted(_edges(48, parts), token, "right"), parts, gone=False), WIRE_ARROW)
 
     return run
 
 
+def _without_gone(batches, out: list):
+    """The batches without the rows that are on their way to their owners, which go to out."""
+    for batch in batches:
+        gone = batch.column(6)
+        if gone.true_count:
+            out.append(batch.filter(gone))
+        yield batch.filter(pa.compute.invert(gone))
+
+
 def _shared(parts: int):
     """Names that two ids hold, back to their owners."""
 
     def run(batches):
-        if (found := _opened(batches)) is None:
+        out: list[pa.RecordBatch] = []
+        found = _opened(_without_gone(batches, out))
+        yield from out
+        if found is None:
             return
         token, owner, _, rk, ids = found
         order = np.argsort(token, kind="stable")
@@ -227,15 +247,8 @@ def _later(parts: int):
     """Places of windows that an earlier id holds too, to their owners."""
 
     def run(batches):
-        def passed():
-            for batch in batches:
-                gone = batch.column(6)
-                if gone.true_count:
-                    out.append(batch.filter(gone))
-                yield batch.filter(pa.compute.invert(gone))
-
         out: list[pa.RecordBatch] = []
-        found = _opened(passed())
+        found = _opened(_without_gone(batches, out))
         yield from out
         if found is None:
             return
