@@ -16,14 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed
+from .common import checkpointed, shuffle_parts
 
 BLOCK = 64
 MOST = 3
 #: Classes of size, as shares of the source's mean size: above the first, down to the next, and so on.
 CUTS = (1.0, 0.125)
-#: Sources are ranked in one sort; more than this raise ValueError.
-SOURCES_MOST = 1_000_000
 BROADCAST_SOURCES = 10_000
 
 
@@ -33,6 +31,24 @@ def words_of(text: Column) -> Column:
     return F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"[\x20\x09-\x0D]+"))).cast("long")
 
 
+def ranked(s: DataFrame) -> DataFrame:
+    """s, of one row a source, with its rank from 0: by code point, null last.
+
+    Sources are sorted in ranges; only the number of rows of each range comes to the driver.
+    """
+    order = (F.col("source").isNull(), F.col("source"))
+    s = s.repartitionByRange(shuffle_parts(s.sparkSession), *order).withColumn("range", F.spark_partition_id())
+    s = checkpointed(s)
+    before, at = [], 0
+    for r in s.groupBy("range").count().orderBy("range").collect():
+        before.append((r["range"], at))
+        at += r["count"]
+    if not before:
+        return s.withColumn("rank", F.lit(0)).drop("range")
+    first = F.broadcast(s.sparkSession.createDataFrame(before, "range int, first long"))
+    return s.join(first, "range").withColumn("rank", F.col("first") + F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1).drop("range", "first")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
     """(source, n, source_size, target) from (source, size, n): sums by source, then shares of the total by weight.
 
@@ -40,12 +56,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     excess is shared by weight among the others, until none is above. Each round needs two sums only.
     """
     s = sizes.groupBy("source").agg(F.sum("n").alias("n"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    s = checkpointed(s)
-    if s.count() > SOURCES_MOST:
-        raise ValueError(f"more than {SOURCES_MOST} sources")
-    rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))
-    s = s.withColumn("weight", weight.cast("long"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    s = checkpointed(ranked(s).withColumn("weight", weight.cast("long")))
     total = s.agg(F.sum("source_size")).first()[0] or 0
     ceiling = F.col("source_size") * most
     level, full = 0.0, F.lit(False)

@@ -168,6 +168,12 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.mixed(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
 
 
+def test_sources_are_ranked_across_ranges(spark):
+    names = [None, *(f"s{i * 7919 % 1000}é" for i in range(1000))]
+    got = mixing.ranked(spark.createDataFrame([(n, i) for i, n in enumerate(names)], "source string, k int")).collect()
+    assert [r["source"] for r in sorted(got, key=lambda r: r["rank"])] == [*sorted(names[1:]), None] and sorted(r["rank"] for r in got) == list(range(1001))
+
+
 def test_rounding_keeps_sums_and_means(spark):
     units = spark.range(3000).select(F.lit("s").alias("source"), F.col("id").alias("key"), (F.col("id") % 50 + 1).alias("size")).withColumn("words", F.col("size") * 0.3)
     want = units.agg(F.sum("words")).first()[0]
@@ -326,7 +332,10 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_substring_dedup(spark, docs, rows, empty):
+@pytest.mark.parametrize("batch", [10_000, 4, 1])
+def test_substring_dedup(spark, docs, rows, empty, batch):
+    """Also where each few rows are a flush of their own, so that names are shared within flushes, and across them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     starts = defaultdict(list)
     for d, text, *_ in rows:
         w = words(text)
@@ -343,6 +352,7 @@ def test_substring_dedup(spark, docs, rows, empty):
 
     out = substring.remove_repeats(docs, with_text=True)
     assert found(out, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(str(brute(r[0], r[1])) for r in rows)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert all(sha(r["kept_text"]) == r["kept_sha256"] for r in out.collect())
     assert substring.remove_repeats(empty).count() == 0
     with pytest.raises(ValueError):
