@@ -51,7 +51,8 @@ def bm25(df: DataFrame, id_col: str, text_col: str, query: str, k1: float = 1.5,
 def _occurrences(text: Column, word: str) -> Column:
     """How many tokens of a text in lower case are the word, without building an array of all tokens."""
     kind = "[0-9]" if word[0].isdigit() else "[a-z]"
-    return F.regexp_count(text, F.lit(f"(?<!{kind}){word}(?!{kind})"))
+    count = F.regexp_count(text, F.lit(f"(?<!{kind}){word}(?!{kind})"))
+    return F.when(F.contains(text, F.lit(word)), count).otherwise(0)  # most texts hold none, and need no pattern
 
 
 def top(scored: DataFrame, id_col: str, k: int, score: str = "score", ascending: bool = False) -> DataFrame:
