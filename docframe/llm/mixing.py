@@ -187,15 +187,16 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, seed: int = 7) -> DataFrame:
     """docs with each row repeated as often as the mix takes it; columns are those of docs.
 
-    Rows are joined to their copies by (id, source, size, repeat), repeats being numbered in the join's own partitions.
+    Rows are joined to their copies by (id, source, size, repeat), repeats being numbered in the join's own partitions,
+    by a hash of the text, so that reruns take the same texts.
     """
     columns = docs.columns
     plan = mixed(docs, id_col, text_col, source_col, weights, most, seed).select(
         F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("size").alias("_size"), F.col("repeat").alias("_repeat"), F.col("copies").alias("_copies")
     )
     plan = plan.filter("_copies > 0").withColumn("_k", F.xxhash64("_id", "_source", "_size"))
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), F.xxhash64(F.col(id_col), F.col(source_col), words_of(F.col(text_col))).alias("_k"))
-    row = row.withColumn("_repeat", F.row_number().over(Window.partitionBy("_k").orderBy(F.lit(0))))
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), F.xxhash64(F.col(id_col), F.col(source_col), words_of(F.col(text_col))).alias("_k"), F.xxhash64(F.col(text_col)).alias("_text"))
+    row = row.withColumn("_repeat", F.row_number().over(Window.partitionBy("_k").orderBy("_text"))).drop("_text")
     plan = plan.select("_k", F.col("_repeat").alias("_of"), "_copies")
     # equality as a difference: with _k as the only join key, texts stay where the window has dealt them
     return row.join(plan, (row["_k"] == plan["_k"]) & (F.col("_repeat") - F.col("_of") == 0)).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")
