@@ -8,8 +8,9 @@ shared, so a document whose prefix holds nothing else has no partner and goes no
 
 What is left is joined on the shared prefix shingles. Shingles with many owners are first joined within chunks of
 CHUNK owners, two ways; that finds the bulk of a group of copies in linear work. Then only pairs whose documents are
-not yet known to be connected are joined across chunks. Every pair passes the length, positional and suffix filters
-and is verified once. Nothing is capped: the second join covers all that the first left out.
+not yet known to be connected are joined across chunks: owners outside a shingle's largest component with all its
+owners, so that a large group of copies isn't joined with itself. Every pair passes the length, positional and suffix
+filters and is verified once. Nothing is capped: the second join covers all that the first left out.
 """
 
 from __future__ import annotations
@@ -230,28 +231,26 @@ def _byte(h: str, i: int):
     return F.shiftrightunsigned(F.col(h), 16 * i).bitwiseAND(F.lit(0xFFFF))
 
 
-def _pairs(left: DataFrame, on: list[str], percent: int, apart: bool = False) -> DataFrame:
-    """Pairs (one, other), one < other, that agree on the columns `on` and pass the filters."""
-    cols = [*on, "cls", "n", "pos", "h", *(["label"] if apart else [])]
-    a = left.select(*on, *(F.col(c).alias(f"a_{c}") for c in cols if c not in on))
-    b = left.select(*on, *(F.col(c).alias(f"b_{c}") for c in cols if c not in on))
-    short, long_ = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+def _pairs(left: DataFrame, right: DataFrame, on: list[str], percent: int, once) -> DataFrame:
+    """Pairs (one, other), one < other, of a row x of left and y of right that agree on the columns `on` and pass the filters.
+
+    once(x, y): what must hold besides, so that a pair is met from one side only.
+    """
+    a, b = left.alias("x"), right.alias("y")
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    short, long_ = F.least(x("n"), y("n")), F.greatest(x("n"), y("n"))
     length = short * 100 >= long_ * percent
     # overlap o of sizes n and m: 100 o >= p (n + m - o)
-    need = (F.col("a_n") + F.col("b_n")) * percent
-    position = (F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))) * (100 + percent) >= need
+    need = (x("n") + y("n")) * percent
+    position = F.least(x("n") - x("pos"), y("n") - y("pos")) * (100 + percent) >= need
     behind = F.lit(1)
     for i in range(4):
-        behind = behind + F.least(_byte("a_h", i), _byte("b_h", i))
+        behind = behind + F.least(_byte("x.h", i), _byte("y.h", i))
     suffix = (long_ >= 65535) | (behind * (100 + percent) >= need)
-    ok = (F.col("a_cls") < F.col("b_cls")) & length & position & suffix
-    if apart:
-        ok = ok & (F.col("a_label") != F.col("b_label"))
-    keys = ok
-    a, b = a.alias("x"), b.alias("y")
+    ok = once(x, y) & length & position & suffix
     for c in on:
-        keys = keys & (F.col(f"x.{c}") == F.col(f"y.{c}"))
-    return a.join(b, keys).select(F.col("a_cls").alias("one"), F.col("b_cls").alias("other")).distinct()
+        ok = ok & (x(c) == y(c))
+    return a.join(b, ok).select(F.least(x("cls"), y("cls")).alias("one"), F.greatest(x("cls"), y("cls")).alias("other")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -288,7 +287,8 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def chunked(salt: int) -> DataFrame:
         chunks = F.pmod(F.xxhash64("cls", F.lit(salt)), F.ceil(F.col("g") / CHUNK))
-        return _pairs(prefix.withColumn("chunk", chunks), ["token", "chunk"], percent)
+        dealt = prefix.withColumn("chunk", chunks)
+        return _pairs(dealt, dealt, ["token", "chunk"], percent, lambda x, y: x("cls") < y("cls"))
 
     first = chunked(0).union(chunked(1).join(prefix.filter(F.col("g") > CHUNK).select("cls").distinct(), F.col("one") == F.col("cls"), "left_semi")).distinct()
     verified = checkpointed(_verified(first, sets, percent))
@@ -298,8 +298,11 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     known = components(links)
     labels = known.select(F.col("a").alias("cls"), "label")
     wide = prefix.filter(F.col("g") > CHUNK).join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    torn = wide.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    across = _pairs(wide.join(torn.select("token"), "token"), ["token"], percent, apart=True)
+    shares = wide.groupBy("token", "label").agg(F.count("*").alias("c"))
+    torn = shares.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    wide = wide.join(torn, "token").withColumn("main", F.col("label") == F.col("main"))
+    # most owners of a common shingle are in one component by now: only the others look for partners
+    across = _pairs(wide.filter(~F.col("main")), wide, ["token"], percent, lambda x, y: (x("label") != y("label")) & (y("main") | (x("cls") < y("cls"))))
     across = across.join(verified.select("one", "other"), ["one", "other"], "left_anti")
     more = _verified(across, sets, percent).filter("link").select("one", "other")
     # these join components: the label of a document without links is itself
