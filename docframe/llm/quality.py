@@ -39,9 +39,11 @@ def _repeated(w: Column) -> Column:
     return F.aggregate(let(windows, twice), start, step, lambda acc: acc["total"])
 
 
-def measures(text: Column) -> Column:
+def measures(text: Column, exact: bool = True) -> Column:
     """A struct of the measures of a text; a null text measures as an empty one.
 
+    exact=False serves the rules alone: n_repeat_words is 0 where it can't be over half of the words. k windows more
+    than distinct ones mean at most 2 k windows found twice, and 6 k words in them.
     What is used twice is bound by let(): the optimizer may move or copy the whole expression, never its parts.
     """
     text = F.coalesce(text, F.lit(""))
@@ -51,7 +53,8 @@ def measures(text: Column) -> Column:
 
     def of_words(w: Column) -> Column:
         hashes = F.when(F.size(w) > 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
-        alike = F.coalesce(let(hashes, lambda g: F.size(F.array_distinct(g)) < F.size(g)), F.lit(False))  # no equal hash: no equal window
+        alike = let(hashes, lambda g: F.size(g) - F.size(F.array_distinct(g)))  # no equal hash: no equal window
+        alike = F.coalesce(alike > 0 if exact else alike * 12 > F.size(w), F.lit(False))
         return F.struct(F.size(w).cast("long").alias("n_words"), F.when(alike, _repeated(w)).otherwise(0).cast("long").alias("n_repeat_words"))
 
     def all_of(w: Column, x: Column) -> Column:
@@ -112,7 +115,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 def kept(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = 0.9) -> DataFrame:
     """The rows of docs that judge() keeps, with docs' columns. Texts are never shuffled unless the bad hosts are many."""
-    marks = docs.select(F.col(host_col).alias("host"), let(measures(F.col(text_col)), failed).alias("failed"))
+    marks = docs.select(F.col(host_col).alias("host"), let(measures(F.col(text_col), exact=False), failed).alias("failed"))
     bad = bad_hosts(marks, max_rate).select(F.col("host").alias("_bad_host"))
-    good = docs.filter(let(measures(F.col(text_col)), lambda m: ~base_failed(m)))
+    good = docs.filter(let(measures(F.col(text_col), exact=False), lambda m: ~base_failed(m)))
     return good.join(bad, F.col(host_col).eqNullSafe(F.col("_bad_host")), "left_anti")

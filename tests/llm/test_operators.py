@@ -123,6 +123,14 @@ def test_quality(spark, docs, rows, empty):
     assert found(quality.judge(texts), *names) == [str((1, *brute(texts.first()["text"])))]
 
 
+def test_quality_rules_without_counting_all_repeats(spark):
+    """The rules' verdicts are the same where few repeats aren't counted: texts whose words repeat in 0 to 90 of 100, in copies of two or many."""
+    texts = [(" ".join([*(f"u{i}" for i in range(n - r)), *(f"r{i % max(3, r // k)}" for i in range(r))]),) for n in (50, 99, 200) for r in range(0, n * 9 // 10, 5) for k in (2, 3, 9)]
+    m = spark.createDataFrame(texts, "text string").select(quality.measures(F.col("text")).alias("a"), quality.measures(F.col("text"), exact=False).alias("b"))
+    assert m.filter(quality.base_failed(F.col("a")) != quality.base_failed(F.col("b"))).count() == 0
+    assert 0 < m.filter(quality.base_failed(F.col("a"))).count() < m.count() and m.filter("a.n_repeat_words != b.n_repeat_words").count() > 0
+
+
 def test_toxicity_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     out = queries.op4_toxicity(spark, d).join(queries.table(spark, d, "labels"), "doc_id").filter("held_out")
