@@ -255,44 +255,69 @@ def record_checksum(spark, d):
 # --- joins ---------------------------------------------------------------------------------------------------------
 
 
-def _customers_orders(spark, d, how, floor=150000):
+#: Which customers the nested joins below take, as their SQL does; whole() registers each of them over all customers too.
+_THIRD = "c_custkey % 3 = 0"
+
+
+def _customers_orders(spark, d, how, customers, floor=150000):
     orders = table(spark, d, "orders").filter(F.col("o_totalprice") > floor)
-    return joins.nested(table(spark, d, "customer").filter("c_custkey % 3 = 0"), orders, ("c_custkey", "o_custkey"), how, "orders", "o_orderkey")
+    return joins.nested(table(spark, d, "customer").filter(customers), orders, ("c_custkey", "o_custkey"), how, "orders", "o_orderkey")
+
+
+def whole(of: str = "true", suffix: str = "whole"):
+    """Registers a query of customers (spark, sf_dir, customers) again, over those of a condition on values; all by default."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, sf_dir, of)
+
+        run.__name__ = f"{f.__name__}_{suffix}"
+        register(SQL[f.__name__].replace(_THIRD, of))(run)
+        return f
+
+    return add
 
 
 _ORDERS = "o AS (SELECT * FROM orders WHERE o_totalprice > 150000), c AS (SELECT * FROM customer WHERE c_custkey % 3 = 0)"
 
 
+@whole()
 @register(f"WITH {_ORDERS} SELECT c_custkey, count(o_orderkey) AS n, round(coalesce(sum(o_totalprice), 0), 2) AS total, coalesce(min(o_orderkey), -1) AS first_order FROM c LEFT JOIN o ON c_custkey = o_custkey GROUP BY c_custkey")
-def join_nested_left(spark, d):
-    j = _customers_orders(spark, d, "left")
+def join_nested_left(spark, d, customers=_THIRD):
+    j = _customers_orders(spark, d, "left", customers)
     total = F.aggregate(fn.array_path(F.col("orders"), "o_totalprice"), F.lit(0.0), lambda a, x: a + x)
     return j.select("left.c_custkey", F.size("orders").cast("long").alias("n"), F.round(total, 2).alias("total"), F.coalesce(fn.array_path(F.col("orders"), "o_orderkey", first=True), F.lit(-1)).alias("first_order"))
 
 
+@whole()
 @register(f"WITH {_ORDERS} SELECT c_custkey, count(*) AS n FROM c JOIN o ON c_custkey = o_custkey GROUP BY c_custkey")
-def join_nested_inner(spark, d):
-    return _customers_orders(spark, d, "inner").select("left.c_custkey", F.size("orders").cast("long").alias("n"))
+def join_nested_inner(spark, d, customers=_THIRD):
+    return _customers_orders(spark, d, "inner", customers).select("left.c_custkey", F.size("orders").cast("long").alias("n"))
 
 
+@whole("c_acctbal > 0", "balance")  # leaves orders unmatched, which all customers do not
+@whole()
 @register(f"WITH {_ORDERS} SELECT c_custkey, count(*) AS n, min(o_orderkey) AS first_order FROM c JOIN o ON c_custkey = o_custkey GROUP BY c_custkey UNION ALL SELECT NULL, 1, o_orderkey FROM o WHERE o_custkey NOT IN (SELECT c_custkey FROM c)")
-def join_nested_right(spark, d):
-    return _customers_orders(spark, d, "right").select("left.c_custkey", F.size("orders").cast("long").alias("n"), F.col("orders")[0]["o_orderkey"].alias("first_order"))
+def join_nested_right(spark, d, customers=_THIRD):
+    return _customers_orders(spark, d, "right", customers).select("left.c_custkey", F.size("orders").cast("long").alias("n"), F.col("orders")[0]["o_orderkey"].alias("first_order"))
 
 
+@whole()
 @register(f"WITH {_ORDERS} SELECT DISTINCT c_custkey FROM c JOIN o ON c_custkey = o_custkey WHERE o_orderstatus = 'F'")
-def join_where_any(spark, d):
-    return joins.where_any(_customers_orders(spark, d, "left"), ["orders"], "o_orderstatus", "eq", "F").select("left.c_custkey")
+def join_where_any(spark, d, customers=_THIRD):
+    return joins.where_any(_customers_orders(spark, d, "left", customers), ["orders"], "o_orderstatus", "eq", "F").select("left.c_custkey")
 
 
+@whole()
 @register(f"WITH {_ORDERS} SELECT round(max(o_totalprice), 2) AS value FROM c JOIN o ON c_custkey = o_custkey")
-def join_aggregate(spark, d):
-    return joins.aggregate(_customers_orders(spark, d, "left"), "orders", "o_totalprice", "max").select(F.round("value", 2).alias("value"))
+def join_aggregate(spark, d, customers=_THIRD):
+    return joins.aggregate(_customers_orders(spark, d, "left", customers), "orders", "o_totalprice", "max").select(F.round("value", 2).alias("value"))
 
 
+@whole()
 @register(f"WITH {_ORDERS} SELECT c_mktsegment AS key, round(coalesce(sum(o_totalprice), 0), 2) AS value FROM c LEFT JOIN o ON c_custkey = o_custkey GROUP BY c_mktsegment")
-def join_group_by(spark, d):
-    return joins.group_by(_customers_orders(spark, d, "left"), F.col("left.c_mktsegment"), "orders", "o_totalprice", "sum").select("key", F.round("value", 2).alias("value"))
+def join_group_by(spark, d, customers=_THIRD):
+    return joins.group_by(_customers_orders(spark, d, "left", customers), F.col("left.c_mktsegment"), "orders", "o_totalprice", "sum").select("key", F.round("value", 2).alias("value"))
 
 
 @register("SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 200000")
@@ -307,10 +332,11 @@ def join_chain(spark, d):
     return both.groupBy("c_custkey").agg(F.count_distinct("n_regionkey").alias("regions"), F.count("l_partkey").alias("lines"))
 
 
+@whole()
 @register(f"WITH {_ORDERS}, s AS (SELECT DISTINCT c_custkey, l_orderkey, l_suppkey FROM c JOIN o ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey) SELECT c.c_custkey, count(DISTINCT l_suppkey) AS suppliers FROM c LEFT JOIN s USING (c_custkey) GROUP BY c.c_custkey")
-def join_nested_chain(spark, d):
+def join_nested_chain(spark, d, customers=_THIRD):
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct().withColumn("l_id", F.concat_ws("/", "l_orderkey", "l_suppkey"))
-    j = joins.nested_chain(_customers_orders(spark, d, "left"), F.col("left.c_custkey"), "orders", "o_orderkey", lines, "l_orderkey", "l_id", "lines")
+    j = joins.nested_chain(_customers_orders(spark, d, "left", customers), F.col("left.c_custkey"), "orders", "o_orderkey", lines, "l_orderkey", "l_id", "lines")
     return j.select("left.c_custkey", F.size(F.array_distinct(fn.array_path(F.col("lines"), "l_suppkey"))).cast("long").alias("suppliers"))
 
 

@@ -16,3 +16,14 @@ def test_entry_has_rows(spark):
 def test_ann_finds_the_vector_itself(spark):
     rows = QUERIES["vector_ann"](spark, "/root/testdata/sf0.001").collect()
     assert rows[0]["vec_id"] == 0 and rows[0]["distance"] < 1e-6
+
+
+@pytest.mark.parametrize("name", ["join_nested_left", "join_nested_chain"])
+def test_whole_joins_take_every_customer(spark, duck, name):
+    got = {r["c_custkey"] for r in QUERIES[f"{name}_whole"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {k for (k,) in duck.sql("SELECT c_custkey FROM customer").fetchall()}
+
+
+def test_right_join_by_balance_has_unmatched_orders(spark):
+    matched = QUERIES["join_nested_right_balance"](spark, "/root/testdata/sf0.001").selectExpr("c_custkey IS NOT NULL AS m").distinct().collect()
+    assert {r["m"] for r in matched} == {True, False}
