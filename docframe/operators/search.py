@@ -85,22 +85,52 @@ def vector_search(df: DataFrame, id_col: str, vector_col: str, query: list[float
     return top(rows.select(id_col, F.round(euclidean(F.col(vector_col), q), 6).alias("score")), id_col, k, ascending=True)
 
 
-#: Queries that one call may broadcast.
+#: Queries that are broadcast at a time.
 MOST_QUERIES = 10_000
 
 
 def vector_search_batch(df: DataFrame, id_col: str, vector_col: str, queries: DataFrame, query_id: str, k: int = 5) -> DataFrame:
-    """(query, id_col, score, rank): top k for each of a stated set of queries, at most MOST_QUERIES of them.
+    """(query, id_col, score, rank): top k for each of a set of queries.
 
-    Each partition keeps its own k best for each query before anything is shuffled.
+    Each partition keeps its own k best for each query before anything is shuffled. More than MOST_QUERIES queries are
+    searched in blocks of at most so many, one after another; each block reads df again and is written to the folder of
+    checkpoints, if there is one, so that its queries are held no longer. Rows that agree in id and vector share a block.
     """
-    n = queries.count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"{n} queries; split them into blocks of {MOST_QUERIES}")
     q = queries.select(F.col(query_id).alias("query"), F.col(vector_col).alias("_q"))
+    n = q.count()
+    if n <= MOST_QUERIES:
+        return _nearest(df, id_col, vector_col, q, k)
+    buckets = 16 * -(-n // MOST_QUERIES)
+    q = q.withColumn("_b", F.pmod(F.xxhash64("query", "_q"), F.lit(buckets)).cast("int"))
+    keep = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    found = []
+    for block in _blocks(sorted(map(tuple, q.groupBy("_b").count().collect())), MOST_QUERIES):
+        near = _nearest(df, id_col, vector_col, q.filter(F.col("_b").isin(block)).drop("_b"), k)
+        found.append(near.checkpoint() if keep else near)
+    # rows of one query id with different vectors may lie in several blocks
+    return _ranked(reduce(DataFrame.unionByName, found), id_col, k)
+
+
+def _blocks(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
+    """Buckets (number, size) in groups whose sizes add up to `most` at most; a larger bucket is a group of its own."""
+    out, held = [], most
+    for bucket, size in sizes:
+        if held + size > most:
+            out.append([])
+            held = 0
+        out[-1].append(bucket)
+        held += size
+    return out
+
+
+def _nearest(df: DataFrame, id_col: str, vector_col: str, q: DataFrame, k: int) -> DataFrame:
     scored = df.select(id_col, F.col(vector_col).alias("_v")).join(F.broadcast(q), F.size("_v") == F.size("_q")).select("query", id_col, F.round(cosine(F.col("_v"), F.col("_q")), 6).alias("score"))
     part = Window.partitionBy("query", "_p").orderBy(F.col("score").desc(), id_col)
     near = scored.withColumn("_p", F.pmod(F.xxhash64(id_col), F.lit(64))).withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= k).drop("_p")
+    return _ranked(near, id_col, k)
+
+
+def _ranked(near: DataFrame, id_col: str, k: int) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), id_col))).filter(F.col("rank") <= k)
 
 

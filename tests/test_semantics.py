@@ -83,6 +83,16 @@ def test_vectors(spark):
     assert [tuple(r) for r in search.vector_search(df, "id", "v", [1.0, 0.0], 10).collect()] == [(1, 1.0), (2, 1.0), (3, 0.0), (4, -1.0)]
 
 
+def test_vector_batches_of_any_number(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "id int, v array<double>")
+    asked = df.filter("id % 3 = 0").unionByName(spark.createDataFrame([(3, [0.0, 0.0, 1.0]), (3, [9.0, 0.0, 1.0])], df.schema))  # an id asked thrice
+    of = lambda: sorted(map(tuple, search.vector_search_batch(df, "id", "v", asked, "id", 4).collect()))
+    together = of()
+    monkeypatch.setattr(search, "MOST_QUERIES", 5)
+    assert of() == together and len(together) == 4 * 20
+    assert search._blocks([(0, 3), (1, 2), (2, 1), (3, 9), (4, 5)], 5) == [[0, 1], [2], [3], [4]]
+
+
 def test_versions(spark):
     log = spark.createDataFrame([(1, 1, 10, False, "a"), (1, 2, 20, False, "b"), (1, 3, 20, True, "c"), (2, 1, 5, False, "x")], "id int, version int, at int, deleted boolean, d string")
     assert [r["d"] for r in temporal.snapshot(log, 15).orderBy("id").collect()] == ["a", "x"]
