@@ -270,9 +270,20 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     null if it has none; repeated ids and repeated rows each get a row. An empty table gives an empty table.
     Shingles are compared by 48-bit fingerprints, sets of shingles by 64-bit ones.
     """
+    joined = _labelled(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), width, percent)
+    least = joined.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return joined.join(least, "label", "left").select(
+        F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    )
+
+
+def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, n, cls, label) for each row of docs (doc_id, text): label is the component's, null without shingles.
+
+    doc_id is only passed through and may be of any type.
+    """
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type, id_arrow = docs.schema["doc_id"].dataType.simpleString(), _id_arrow(docs)
     wire, found = WIRE.replace("{id}", id_type), FOUND.replace("{id}", id_type)
     sent = docs.mapInArrow(_scan(width, parts, id_arrow), wire).repartitionById(parts, F.col("part"))
@@ -311,11 +322,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     new = joins.join(known.select("a"), "a", "left_anti").unionByName(relabelled(known, joins))
     labels = checkpointed(new.select(F.col("a").alias("cls"), "label"))
 
-    joined = members.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    least = joined.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return joined.join(least, "label", "left").select(
-        F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    return members.join(labels, "cls", "left").select("doc_id", "n", "cls", F.coalesce("label", "cls").alias("label"))
 
 
 def _id_arrow(docs: DataFrame) -> pa.DataType:
@@ -327,8 +334,13 @@ def _id_arrow(docs: DataFrame) -> pa.DataType:
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """docs without the rows whose component holds a lesser id. Columns are those of docs.
 
-    Rows without shingles, with a null id, or that repeat the id which stays are kept.
+    Rows without shingles, with a null id, or that repeat the id which stays are kept. Rows are judged by id and text,
+    told apart by a 64-bit hash of it: of an id that repeats with several texts, only those go that have a lesser copy.
     """
-    found = similarity_components(docs, id_col, text_col, width, percent)
-    dropped = found.filter((F.col("n_shingles") > 0) & ~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("_gone"), "left_anti")
+    key = F.xxhash64(F.col(text_col))
+    row = f"struct<id:{docs.schema[id_col].dataType.simpleString()},key:bigint>"  # the cast lets key be null, as the wire format does
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), key.alias("key")).cast(row).alias("doc_id"), F.col(text_col).alias("text"))
+    joined = _labelled(keyed, width, percent).select("label", F.col("doc_id.id").alias("_gone"), F.col("doc_id.key").alias("_key"))
+    least = joined.groupBy("label").agg(F.min("_gone").alias("least"))
+    dropped = joined.join(least, "label").filter(F.col("_gone") != F.col("least")).select("_gone", "_key").distinct()
+    return docs.join(dropped, (F.col(id_col) == F.col("_gone")) & (key == F.col("_key")), "left_anti")

@@ -312,6 +312,13 @@ def test_jaccard(spark, docs, rows, empty, hot, monkeypatch):
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r[0]) for r in rows if r[0] not in gone)
 
 
+def test_deduplicated_judges_rows_of_repeated_ids(spark):
+    base, clean = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    texts = [(1, base), (2, f"{base} end"), (2, clean), (3, clean), (1, f"{base} more"), (None, base), (2, None), (4, "alone")]
+    kept = jaccard.deduplicated(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, (t for t in texts if t not in ((2, f"{base} end"), (3, clean)))))
+
+
 def test_jaccard_across_chunks(spark, monkeypatch):
     """Many near copies at the edge of the threshold, joined in chunks of two: what chunks miss must still be found."""
     import random
