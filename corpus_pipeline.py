@@ -27,7 +27,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def slot_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.with_shards(docs)
+    return sharding.with_shards(docs, map_path=sharding.new_map_path(spark))
 
 
 STAGES = [

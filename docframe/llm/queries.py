@@ -62,7 +62,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKE
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"))
+    return sharding.shard(table(spark, sf_dir, "documents"), map_path=sharding.new_map_path(spark))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,13 @@ and the number of slots is fixed. Rebalancing moves whole slots, as few as it ca
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed
+from .common import checkpointed, shared_dir
 
 SLOTS = 4096
 
@@ -75,6 +76,11 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> tupl
     return version, {r.vslot: r.shard for r in rows.filter(F.col("version") == version).collect()}
 
 
+def new_map_path(spark: SparkSession) -> str:
+    """Where in the shared folder a run keeps the versions of its map."""
+    return f"{shared_dir(spark)}/docframe/slots-{uuid.uuid4().hex}"
+
+
 def vslot(slots: int, *of):
     return F.pmod(F.xxhash64(*of), F.lit(slots)).cast("int")
 
@@ -114,14 +120,17 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     )
 
 
-def with_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8, slots: int = SLOTS) -> DataFrame:
+def with_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """docs with columns shard and vslot (which replace columns of these names); texts are never shuffled.
 
-    Slots come from a hash of the id and the text, so equal rows share a slot.
+    Slots come from a hash of the id and the text, so equal rows share a slot. With map_path, the map is written as version 1.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.drop("shard", "vslot").withColumn("vslot", vslot(slots, F.col(id_col), text))
     size = F.octet_length(text).cast("long") + 1
     held = {r.vslot: r.bytes for r in rows.groupBy("vslot").agg(F.sum(size).alias("bytes")).collect()}
-    placed = docs.sparkSession.createDataFrame(sorted(spread(held, shards).items()), "vslot int, shard int")
+    made = spread(held, shards)
+    if map_path is not None:
+        save_map(docs.sparkSession, map_path, 1, made)
+    placed = docs.sparkSession.createDataFrame(sorted(made.items()), "vslot int, shard int")
     return rows.join(F.broadcast(placed), "vslot").select(*[c for c in docs.columns if c not in ("shard", "vslot")], "shard", "vslot")

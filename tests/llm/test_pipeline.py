@@ -1,10 +1,12 @@
 """The stages against plain Python, one after another."""
 
 import re
+from pathlib import Path
 
 import pytest
 
 import corpus_pipeline
+from docframe.llm import common, queries, sharding
 
 from .test_operators import LOWER, brute_components, words
 
@@ -61,3 +63,12 @@ def test_mix_and_shards(stages):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, D).count() > 0
+
+
+@pytest.mark.parametrize("run", [queries.op8_sharding, lambda spark, d: corpus_pipeline.slot_sharding(spark, spark.read.parquet(f"{d}/documents.parquet"), d)])
+def test_shards_come_from_a_stored_map(spark, run):
+    maps = lambda: set(Path(common.shared_dir(spark).removeprefix("file:")).glob("docframe/slots-*"))
+    before = maps()
+    rows = run(spark, D).select("vslot", "shard").distinct().collect()
+    (new,) = maps() - before
+    assert sharding.load_map(spark, str(new)) == (1, {r["vslot"]: r["shard"] for r in rows})
