@@ -573,6 +573,13 @@ def dag_ancestors(spark, d):
     return graph.ancestors(nodes, nodes.filter("turn = 3").select("id"))
 
 
+@register(_DAG.replace(" WHERE turn = 3", ""))
+def dag_ancestors_whole(spark, d):
+    """From every node; dag_ancestors starts at turn 3 only, as its SQL does."""
+    nodes = _nodes(spark, d)
+    return graph.ancestors(nodes, nodes.select("id"))
+
+
 @register("SELECT c_custkey, CAST(CAST('0x' || substr(md5(CAST(c_custkey AS VARCHAR)), 1, 8) AS UBIGINT) % 16 AS INTEGER) AS shard FROM customer")
 def shard_route(spark, d):
     return shards.routed(table(spark, d, "customer"), "c_custkey", 16).select("c_custkey", "shard")

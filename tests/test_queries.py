@@ -27,3 +27,9 @@ def test_whole_joins_take_every_customer(spark, duck, name):
 def test_right_join_by_balance_has_unmatched_orders(spark):
     matched = QUERIES["join_nested_right_balance"](spark, "/root/testdata/sf0.001").selectExpr("c_custkey IS NOT NULL AS m").distinct().collect()
     assert {r["m"] for r in matched} == {True, False}
+
+
+def test_whole_lineage_starts_everywhere(spark, duck):
+    rows = QUERIES["dag_ancestors_whole"](spark, "/root/testdata/sf0.001").collect()
+    assert {r["root"] for r in rows} == {k for (k,) in duck.sql("SELECT DISTINCT conv_id || '/' || turn FROM conversations").fetchall()}
+    assert max(r["depth"] for r in rows) > 3
