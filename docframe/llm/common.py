@@ -36,11 +36,16 @@ NOT_ALNUM = (BYTES < 0x80) & ~(((BYTES >= 0x30) & (BYTES <= 0x39)) | ((BYTES >=
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. A default holds only where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a local master has a
+    default (tests); on a cluster there is none, as each machine would have a folder of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = current.get() if current.isDefined() else "/tmp/docframe-checkpoints"
+        at = current.get() if current.isDefined() else None
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = "/tmp/docframe-checkpoints"
     return at.rstrip("/")
 
 
@@ -64,8 +69,10 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def arrow_type(df: DataFrame, col: str) -> str:
-    return df.schema[col].dataType.simpleString()
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any store that Spark can write to."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 # --- words ---------------------------------------------------------------------------------------------------------
@@ -218,6 +225,19 @@ def rows_of(schema: pa.Schema, rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+def buckets(batches):
+    """The rows of each bucket, a list at a time, of batches that are sorted by `bucket`; only one bucket is held."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and held[-1]["bucket"] != row["bucket"]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
 def sized(rows: list[dict], schema: pa.Schema, size: int = 8_000_000):
     """Record batches of about size bytes of blobs each."""
     part: list[dict] = []

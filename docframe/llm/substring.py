@@ -1,52 +1,148 @@
 """Substring dedup by recompression: words of passages that an earlier document holds are removed.
 
-Two rounds of pair naming shorten each text: symbols are dealt to a left and a right side by a bit of their hash, and
-each left symbol followed by a right one becomes one new symbol, named by the hash of its two parts. Names depend on
-content alone, so all tasks name alike without exchanging a dictionary. A run of one symbol lies on one side and is
-never paired in itself; as each window of equal words then has equal symbols, runs need no names of their own.
-Within a window of `width` words, whatever stands around it changes only symbols that begin in its first 3 words or
-end in its last 3: the interior is named alike wherever the window occurs.
-
-Round three names, for each window, its least interior symbol together with the 3 words on either side. Equal windows
-have equal names, and a text has far fewer of them than words. Names that two documents share reveal where repeats
-can be; only windows with a shared name are then compared by the hash of all their words (64 bits).
-
-Texts are dealt once, by the hash of (id, text); the three steps read that one exchange. All that travels besides are
-sorted numbers in compressed blobs, and the mapper sends one entry for a passage, however many texts of its batch hold it.
+A text is a row of symbols, at first its words. A level renames them twice: each run of one symbol becomes one symbol,
+named by the symbol and the run's length; then symbols are dealt to a left and a right side by a bit of their name's
+hash, and a left one followed by a right one becomes one symbol, named by the two. Names follow from content, so equal
+passages get equal names wherever they are; what stands around them decides only symbols near their ends. Each symbol
+carries the words that decided it, `lo` to `hi`: in a window that holds these words, the symbol is there.
+
+Each level is a Spark round that settles its names for the whole corpus: every flush of texts sends the names that it
+made to the task of their range, once, and that task tells the owner of a name that no other document holds that the
+name is alone. A window with a lone symbol occurs in one document, and goes no further; nor does a symbol made of a
+lone one. After LEVELS rounds one more names, for each window that is left, its block: the words that decided its least
+symbol of the highest level. Windows whose block is not alone are sent, words and all, to the block's task, and
+compared there word for word. Hashes only leave windows out that can't be repeats; none decides that two are equal.
+
+Texts are dealt once, by the hash of (id, text); all steps read that one exchange. Names travel as sorted numbers in
+compressed blobs, in buckets that a task works through one at a time. A name that several documents of a flush hold is
+one entry of that flush without owners, so very common names gather no owners anywhere.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, SAME, SPACES, U64, Words, flushes, folded, mix, pack, rows_of, runs, shuffle_parts, sized, trim, unpack, utf8
+from .common import M1, SAME, SPACES, U64, Words, buckets, flushes, mix, pack, powers, rows_of, runs, shuffle_parts, sized, trim, unpack, utf8
 
-MARGIN, LONGEST = 3, 4  # words that surroundings can change on either side; longest symbol of two rounds
+LEVELS = 2
+#: Buckets for each partition; a task holds one at a time.
+BUCKETS = 4
+#: Bits of a name that travel; fewer only make more names look shared.
+NAME_BITS = 48
 NONE = U64(0xFFFFFFFFFFFFFFFF)
 POS = U64((1 << 24) - 1)
-WIRE = "part int, tok binary, own binary, rk binary, id binary, pos binary, gone boolean"
-WIRE_ARROW = pa.schema([("part", pa.int32()), ("tok", pa.binary()), ("own", pa.binary()), ("rk", pa.binary()), ("id", pa.binary()), ("pos", pa.binary()), ("gone", pa.bool_())])
-
-
-def _paired(name: np.ndarray, text: np.ndarray, start: np.ndarray, size: np.ndarray, salt: int):
-    """One round of pair naming."""
-    side = mix(name + U64(salt)) >> U64(63)
-    first = np.zeros(len(name), bool)
-    if len(name) > 1:
-        first[:-1] = (side[:-1] == 0) & (side[1:] == 1) & (text[:-1] == text[1:])
-    second = np.zeros(len(name), bool)
+WIRE = "part int, bucket int, tok binary, own binary, rk binary, id binary, many binary, words binary"
+WIRE_ARROW = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("tok", "own", "rk", "id", "many", "words"))])
+BACK = "part int, rk binary, own binary, found binary"
+BACK_ARROW = pa.schema([("part", pa.int32()), ("rk", pa.binary()), ("own", pa.binary()), ("found", pa.binary())])
+
+
+# --- symbols -------------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Symbols:
+    """The symbols of some texts in order: name, text, first word, words lo to hi that decide it, whether this level
+    made it, and whether it is known to be in one document only."""
+
+    name: np.ndarray
+    text: np.ndarray
+    start: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    made: np.ndarray
+    alone: np.ndarray
+
+    @classmethod
+    def of(cls, words: Words) -> Symbols:
+        n, at = len(words), np.arange(len(words))
+        return cls(words.hash, words.text, at, at, at + 1, np.zeros(n, bool), np.zeros(n, bool))
+
+    def __len__(self) -> int:
+        return len(self.name)
+
+    def neighbours(self) -> tuple[np.ndarray, np.ndarray]:
+        """lo of the symbol before and hi of the one behind; beyond any window at a text's ends."""
+        n = len(self)
+        lo, hi = np.full(n, -1), np.full(n, 1 << 62)
+        same = self.text[1:] == self.text[:-1]
+        lo[1:] = np.where(same, self.lo[:-1], -1)
+        hi[:-1] = np.where(same, self.hi[1:], 1 << 62)
+        return lo, hi
+
+
+def name_runs(s: Symbols, salt: int) -> Symbols:
+    """Each run of one symbol as one symbol. Both neighbours of a run decide where it ends."""
+    if not len(s):
+        return s
+    heads = np.flatnonzero(np.concatenate([[True], (s.name[1:] != s.name[:-1]) | (s.text[1:] != s.text[:-1])]))
+    many = np.diff(np.append(heads, len(s)))
+    tails = heads + many - 1
+    lo, hi = s.neighbours()
+    name = s.name[heads]
+    long_ = many > 1
+    name = np.where(long_, mix((name ^ U64(salt)) * M1 + many.astype(U64)), name)
+    return Symbols(name, s.text[heads], s.start[heads], lo[heads], hi[tails], long_, s.alone[heads])
+
+
+def name_pairs(s: Symbols, salt: int) -> Symbols:
+    """Each left symbol followed by a right one as one symbol. A lone left one looks behind it, a right one before it."""
+    n = len(s)
+    if not n:
+        return s
+    right = mix(s.name + U64(salt)) >> U64(63) == 1
+    first = np.zeros(n, bool)
+    first[:-1] = ~right[:-1] & right[1:] & (s.text[:-1] == s.text[1:])
+    second = np.zeros(n, bool)
     second[1:] = first[:-1]
     at = np.flatnonzero(first)
-    name, size = name.copy(), size.copy()
-    name[at] = mix((name[at] ^ U64(salt)) * M1 + name[at + 1])
-    size[at] += size[at + 1]
+    before, behind = s.neighbours()
+    lo, hi = np.where(right, before, s.lo), np.where(right, s.hi, behind)
+    name, made, alone = s.name.copy(), s.made.copy(), s.alone.copy()
+    name[at] = mix((s.name[at] ^ U64(salt)) * M1 + s.name[at + 1])
+    lo[at], hi[at] = s.lo[at], s.hi[at + 1]
+    made[at] = True
+    alone[at] |= s.alone[at + 1]
     keep = ~second
-    return name[keep], text[keep], start[keep], size[keep]
+    return Symbols(name[keep], s.text[keep], s.start[keep], lo[keep], hi[keep], made[keep], alone[keep])
+
+
+def cut_name(name: np.ndarray, bits: int) -> np.ndarray:
+    return name >> U64(64 - bits)
+
+
+def levels_of(words: Words, upto: int, lone: np.ndarray, bits: int) -> list[Symbols]:
+    """The symbols of each level. lone: sorted keys (name, text) of names that are known to be alone."""
+    out, s = [], Symbols.of(words)
+    for level in range(upto):
+        s = Symbols(s.name, s.text, s.start, s.lo, s.hi, np.zeros(len(s), bool), s.alone)
+        s = name_pairs(name_runs(s, 0x51ED27 + 2 * level), 0xA24BAE + 2 * level)
+        if len(lone):
+            s.alone[s.made] |= _among(_keys(cut_name(s.name[s.made], bits), s.text[s.made]), lone)
+        out.append(s)
+    return out
+
+
+def _keys(name48: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """A number for each (name, text of the flush)."""
+    return (name48 << U64(16)) | text.astype(U64)
+
+
+def _among(x: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Whether each x is in the sorted numbers."""
+    at = np.searchsorted(held, x)
+    at[at == len(held)] = 0
+    return held[at] == x
+
+
+# --- windows -------------------------------------------------------------------------------------------------------
 
 
 def _slide(x: np.ndarray, width: int) -> np.ndarray:
@@ -59,71 +155,66 @@ def _slide(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def anchors(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows (their first word), the place of each one's anchor, and the 48-bit name of each anchor by place."""
-    n = len(words)
-    names = np.zeros(n, U64)
-    windows = np.flatnonzero(words.text[: max(0, n - width + 1)] == words.text[width - 1 :]) if n >= width else np.zeros(0, np.int64)
-    if not len(windows):
-        return windows, windows, names
-    name, text, start, size = words.hash, words.text, np.arange(n), np.ones(n, np.int64)
-    for salt in (0x51ED27, 0xA24BAE):
-        name, text, start, size = _paired(name, text, start, size, salt)
-    core = width - 2 * MARGIN
-    best = np.full(n, NONE, U64)
-    for k in range(1, LONGEST + 1):
-        value = np.full(n, NONE, U64)
-        mine = start[size == k]
-        value[mine] = (name[size == k] & ~POS) | (mine.astype(U64) & POS)
-        low = _slide(value, core - k + 1)
-        best[: len(low)] = np.minimum(best[: len(low)], low)
-    inner = windows + MARGIN
-    place = inner + ((best[inner] & POS).astype(np.int64) - inner) % (1 << 24)
-    used = np.unique(place)
-    which = np.searchsorted(start, used)
-    key = name[which]
-    for d in range(1, MARGIN + 1):
-        key = mix((key ^ words.hash[used - d]) * M1 + words.hash[start[which] + size[which] + d - 1])
-    names[used] = key >> U64(16)
-    return windows, place, names
-
-
-def _edges(bits: int, parts: int) -> np.ndarray:
-    return np.array([(i << bits) // parts for i in range(1, parts)], U64)
-
-
-def _blobs(token, owner, rk, ids, parts: np.ndarray, n_parts: int, pos=None, gone=None) -> list[dict]:
-    """Rows for each part; token is sorted, and so is parts."""
-    out = []
-    cut = np.searchsorted(parts, np.arange(n_parts + 1))
-    for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-        if a == b:
-            continue
-        who, own = np.unique(owner[a:b], return_inverse=True)
-        out.append({"part": p, "tok": pack(token[a:b], True) if token is not None else None, "own": pack(own.astype(np.uint32)), "rk": pack(rk[who]), "id": pack(ids[who]), "pos": pack(pos[a:b].astype(np.uint32)) if pos is not None else None, "gone": gone})
-    return out
-
-
-def _opened(batches):
-    """All blobs of a partition as (token, owner, pos) and the owners' (rk, id)."""
-    parts: list[tuple] = []
-    at = 0
-    for batch in batches:
-        for row in batch.to_pylist():
-            own, rk = unpack(row["own"], np.uint32).astype(np.int64), unpack(row["rk"], np.int64)
-            parts.append((unpack(row["tok"], U64, True) if row["tok"] is not None else None, own + at, unpack(row["pos"], np.uint32) if row["pos"] is not None else None, rk, unpack(row["id"], np.int64)))
-            at += len(rk)
-    trim()
-    if not parts:
-        return None
-    return [np.concatenate([p[i] for p in parts]) if parts[0][i] is not None else None for i in range(5)]
+class Windows:
+    """The windows of `width` words that no lone symbol rules out: first word, and the symbol that is each one's anchor.
 
+    An anchor is (lo, hi), the words that decided the window's least symbol, of the highest level that has one; where
+    none has, as within runs, the window itself.
+    """
 
-def _to_owner(owner, rk, ids, parts: int, token=None, pos=None, gone=None) -> list[dict]:
-    """Blobs that take tokens or places to the partition of their owner."""
-    part = (rk.view(U64) % U64(parts)).astype(np.int64)[owner]
-    order = np.lexsort((token if token is not None else pos, part)) if token is not None else np.lexsort((pos, owner, part))
-    return _blobs(token[order] if token is not None else None, owner[order], rk, ids, part[order], parts, pos[order] if pos is not None else None, gone)
+    def __init__(self, words: Words, levels: list[Symbols], width: int):
+        many = max(0, len(words) - width + 1)
+        good = words.text[:many] == words.text[width - 1 :] if many else np.zeros(0, bool)
+        for s in levels:  # windows that hold a lone symbol
+            bad = np.flatnonzero(s.alone & (s.lo >= 0) & (s.hi - s.lo <= width))
+            if many and len(bad):
+                from_, to = np.maximum(s.hi[bad] - width, 0), np.minimum(s.lo[bad], many - 1)
+                fits = from_ <= to
+                step = np.bincount(from_[fits], minlength=many + 1) - np.bincount(to[fits] + 1, minlength=many + 1)
+                good &= np.cumsum(step)[:many] == 0
+        self.at = np.flatnonzero(good)
+        self.lo, self.hi = self.at.copy(), self.at + width
+        open_ = np.ones(len(self.at), bool)
+        for s in reversed(levels):
+            if not open_.any():
+                break
+            best = np.full(many, NONE, U64)
+            inside = np.flatnonzero((s.lo >= 0) & (s.hi - s.lo <= width))  # some window holds all that decided them
+            value = (s.name[inside] & ~POS) | (inside.astype(U64) & POS)
+            spare = width - (s.hi - s.lo)[inside]
+            for k in range(width):  # symbols that k + 1 windows hold, the last of them the one that begins with lo
+                mine = inside[spare == k]
+                if len(mine):
+                    held = np.full(many + k, NONE, U64)
+                    np.minimum.at(held, s.lo[mine], value[spare == k])
+                    best = np.minimum(best, _slide(held, k + 1)[:many])
+            mine = open_ & (best[self.at] != NONE)
+            which = self._places(best[self.at[mine]], s, self.at[mine])
+            self.lo[mine], self.hi[mine] = s.lo[which], s.hi[which]
+            open_ &= ~mine
+
+    @staticmethod
+    def _places(best: np.ndarray, s: Symbols, at: np.ndarray) -> np.ndarray:
+        """Numbers of symbols from their low bits: those near the symbol at which each window starts."""
+        near = np.searchsorted(s.start, at)
+        return near + ((best & POS).astype(np.int64) - near) % (1 << 24)
+
+
+def block_names(words: Words, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Names of the blocks lo to hi: hashes of their words."""
+    up, down = powers(len(words) + 1)
+    sums = np.zeros(len(words) + 1, U64)
+    np.cumsum(mix(words.hash) * up[: len(words)], out=sums[1:])
+    return mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(U64))
+
+
+# --- rounds --------------------------------------------------------------------------------------------------------
+
+
+def _place(token: np.ndarray, parts: int, bits: int) -> np.ndarray:
+    """Number of the bucket of each token; buckets are ranges, BUCKETS to a part."""
+    many = parts * BUCKETS
+    return np.searchsorted(np.array([(i << bits) // many for i in range(1, many)], U64), token, "right")
 
 
 def _columns(batch: pa.RecordBatch):
@@ -131,65 +222,99 @@ def _columns(batch: pa.RecordBatch):
     return batch.column(0).to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)
 
 
-def _name(width: int, parts: int):
-    """Each text's anchor names, once. Names that two ids of a flush hold go back to their owners at once; two entries
-    of theirs, of the least and the greatest id, go on to tell other flushes. So a name that very many texts hold is
-    two entries a flush in the task that counts it."""
+def _known(batch: pa.RecordBatch, columns: range) -> np.ndarray:
+    """Sorted (name, text) keys from columns of blobs."""
+    out = [np.zeros(0, U64)]
+    for c in columns:
+        for i, x in enumerate(batch.column(c)):
+            if x.is_valid:
+                out.append(_keys(unpack(x.as_py(), U64, True), np.full(1, i)))
+    return np.sort(np.concatenate(out))
+
+
+def _sent(token: np.ndarray, owner: np.ndarray, rk: np.ndarray, ids: np.ndarray, parts: int, bits: int) -> list[dict]:
+    """Rows that take the distinct names of a flush to their tasks: with an owner, or, held by several ids, without."""
+    order = np.lexsort((ids[owner], token))
+    token, owner = token[order], owner[order]
+    heads = runs(token)
+    ends = np.append(heads[1:], len(token)) - 1
+    many = ids[owner[heads]] < ids[owner[ends]]
+    token, owner = token[heads], owner[heads]
+    place = _place(token, parts, bits)
+    cut = np.append(runs(place), len(place))
+    out = []
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        m = many[a:b]
+        who, own = np.unique(owner[a:b][~m], return_inverse=True)
+        p = int(place[a])
+        out.append({"part": p // BUCKETS, "bucket": p % BUCKETS, "tok": pack(token[a:b][~m], True), "own": pack(own.astype(np.uint32)), "rk": pack(rk[who]), "id": pack(ids[who]), "many": pack(token[a:b][m], True), "words": None})
+    return out
+
+
+def _named(width: int, level: int, parts: int, bits: int):
+    """The names that a round settles: the symbols that its level makes, or the blocks of windows."""
 
     def run(batches):
         for batch in flushes(batches, "text"):
             rk, ids, known = _columns(batch)
             words = Words(*utf8(batch.column(2)), SAME, SPACES)
-            _, place, names = anchors(words, width)
-            place = np.unique(place)
-            place = place[known[words.text[place]]]
-            if len(place):
-                owner = words.text[place]
-                order = np.lexsort((owner, ids[owner], names[place]))
-                token, owner = names[place][order], owner[order]
-                new = np.ones(len(token), bool)
-                new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
+            levels = levels_of(words, min(level, LEVELS), _known(batch, range(3, batch.num_columns)), bits)
+            if level <= LEVELS:
+                s = levels[-1]
+                new = s.made & ~s.alone & known[s.text]
+                token, owner = cut_name(s.name[new], bits), s.text[new]
+            else:
+                w = Windows(words, levels, width)
+                token, owner = cut_name(block_names(words, w.lo, w.hi), bits), words.text[w.at]
+                new = known[owner]
                 token, owner = token[new], owner[new]
-                heads = runs(token)
-                ends = np.append(heads[1:], len(token)) - 1
-                here = np.repeat(ids[owner[heads]] < ids[owner[ends]], ends - heads + 1)
-                if here.any():
-                    yield from sized(_to_owner(owner[here], rk, ids, parts, token=token[here], gone=True), WIRE_ARROW)
-                on = ~here
-                on[heads] = on[ends] = True
-                token, owner = token[on], owner[on]
-                yield from sized(_blobs(token, owner, rk, ids, np.searchsorted(_edges(48, parts), token, "right"), parts, gone=False), WIRE_ARROW)
+            if len(token):
+                key = np.unique(_keys(token, owner))
+                yield from sized(_sent(key >> U64(16), (key & U64(0xFFFF)).astype(np.int64), rk, ids, parts, bits), WIRE_ARROW)
 
     return run
 
 
-def _without_gone(batches, out: list):
-    """The batches without the rows that are on their way to their owners, which go to out."""
-    for batch in batches:
-        gone = batch.column(6)
-        if gone.true_count:
-            out.append(batch.filter(gone))
-        yield batch.filter(pa.compute.invert(gone))
+def _to_owner(rk: np.ndarray, owner: np.ndarray, value: np.ndarray, parts: int) -> list[dict]:
+    """Rows that take numbers to the partition of their owner."""
+    part = (rk.view(U64) % U64(parts)).astype(np.int64)[owner]
+    order = np.lexsort((value, part))
+    part, owner, value = part[order], owner[order], value[order].astype(U64)
+    cut = np.append(runs(part), len(part))
+    out = []
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        who, own = np.unique(owner[a:b], return_inverse=True)
+        out.append({"part": int(part[a]), "rk": pack(rk[who]), "own": pack(own.astype(np.uint32)), "found": pack(value[a:b], True)})
+    return out
 
 
-def _shared(parts: int):
-    """Names that two ids hold, back to their owners."""
+def _lone(parts: int):
+    """Names that one id holds, to the owner that sent them."""
 
     def run(batches):
-        out: list[pa.RecordBatch] = []
-        found = _opened(_without_gone(batches, out))
-        yield from out
-        if found is None:
-            return
-        token, owner, _, rk, ids = found
-        order = np.argsort(token, kind="stable")
-        token, owner = token[order], owner[order]
-        heads = runs(token)
-        size = np.diff(np.append(heads, len(token)))
-        mine = ids[owner]
-        shared = np.repeat(np.minimum.reduceat(mine, heads) < np.maximum.reduceat(mine, heads), size)
-        if shared.any():
-            yield from sized(_to_owner(owner[shared], rk, ids, parts, token=token[shared]), WIRE_ARROW)
+        for rows in buckets(batches):
+            tokens, owners, rks, idss, many, at = [], [], [], [], [], 0
+            for r in rows:
+                rk = unpack(r["rk"], np.int64)
+                tokens.append(unpack(r["tok"], U64, True))
+                owners.append(unpack(r["own"], np.uint32).astype(np.int64) + at)
+                rks.append(rk)
+                idss.append(unpack(r["id"], np.int64))
+                many.append(unpack(r["many"], U64, True))
+                at += len(rk)
+            token, owner, rk, ids = map(np.concatenate, (tokens, owners, rks, idss))
+            if not len(token):
+                continue
+            order = np.argsort(token, kind="stable")
+            token, owner = token[order], owner[order]
+            heads = runs(token)
+            mine = ids[owner]
+            alone = np.minimum.reduceat(mine, heads) == np.maximum.reduceat(mine, heads)
+            alone &= ~np.isin(token[heads], np.concatenate(many))
+            alone = np.repeat(alone, np.diff(np.append(heads, len(token))))
+            if alone.any():
+                yield from sized(_to_owner(rk, owner[alone], token[alone], parts), BACK_ARROW)
+        trim()
 
     return run
 
@@ -197,68 +322,154 @@ def _shared(parts: int):
 def _gather(batches):
     """A row of sorted numbers for each owner."""
     schema = pa.schema([("rk", pa.int64()), ("found", pa.binary())])
-    if (found := _opened(batches)) is None:
+    owners, rks, values, at = [], [], [], 0
+    for batch in batches:
+        for r in batch.to_pylist():
+            rk = unpack(r["rk"], np.int64)
+            rks.append(rk)
+            owners.append(unpack(r["own"], np.uint32).astype(np.int64) + at)
+            values.append(unpack(r["found"], U64, True))
+            at += len(rk)
+    trim()
+    if not rks:
         return
-    token, owner, pos, rk, _ = found
-    value = token if token is not None else pos.astype(U64)
-    rk, number = np.unique(rk, return_inverse=True)
-    owner = number[owner]
+    rk, number = np.unique(np.concatenate(rks), return_inverse=True)
+    owner, value = number[np.concatenate(owners)], np.concatenate(values)
     order = np.lexsort((value, owner))
     value, owner = value[order], owner[order]
     at = np.append(runs(owner), len(owner))
     yield from sized([{"rk": int(rk[owner[a]]), "found": pack(value[a:b], True)} for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], schema)
 
 
-def _compare(width: int, parts: int):
-    """Windows that have a shared name, by the hash of their words."""
+# --- comparison ----------------------------------------------------------------------------------------------------
+
+
+def _passages(width: int, parts: int, bits: int):
+    """Windows whose block is not alone, with their words: those of one anchor that follow each other are one passage.
+
+    A passage that several texts of a flush hold goes on from the least id only; the others' windows are repeats.
+    """
 
     def run(batches):
         for batch in flushes(batches, "text"):
-            rk, ids, _ = _columns(batch)
-            words = Words(*utf8(batch.column(2)), SAME, SPACES)
-            windows, place, names = anchors(words, width)
-            if not len(windows):
-                continue
-            wanted = [(unpack(x.as_py(), U64, True) << U64(16)) | U64(i) for i, x in enumerate(batch.column(3))]
-            wanted = np.concatenate(wanted)
-            owner = words.text[windows]
-            good = np.isin((names[place] << U64(16)) | owner.astype(U64), wanted)
-            windows, owner = windows[good], owner[good]
-            if not len(windows):
+            rk, ids, known = _columns(batch)
+            data, off = utf8(batch.column(2))
+            words = Words(data, off, SAME, SPACES)
+            lone = _known(batch, range(3, batch.num_columns))
+            w = Windows(words, levels_of(words, LEVELS, lone, bits), width)
+            owner = words.text[w.at]
+            name = cut_name(block_names(words, w.lo, w.hi), bits)
+            good = known[owner]
+            if len(lone):
+                good &= ~_among(_keys(name, owner), lone)
+            at, lo, name = w.at[good], w.lo[good], name[good]
+            if not len(at):
                 continue
-            token = words.hash[windows]
-            for i in range(1, width):
-                token = (token ^ (token >> U64(29))) * M1 + words.hash[windows + i]
-            token = mix(token)
-            order = np.lexsort((ids[owner], token))
-            token, owner, windows = token[order], owner[order], windows[order]
-            heads = runs(token)
-            later = ids[owner] > np.repeat(ids[owner][heads], np.diff(np.append(heads, len(token))))
-            pos = windows - words.first[owner]
-            if later.any():
-                yield from sized(_to_owner(owner[later], rk, ids, parts, pos=pos[later], gone=True), WIRE_ARROW)
-            token, owner, pos = token[~later], owner[~later], pos[~later]
-            yield from sized(_blobs(token, owner, rk, ids, np.searchsorted(_edges(64, parts), token, "right"), parts, pos, False), WIRE_ARROW)
+            first = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (at[1:] != at[:-1] + 1) | (name[1:] != name[:-1])]))
+            n_windows = np.diff(np.append(first, len(at)))
+            at, name = at[first], name[first]
+            owner = words.text[at]
+            plain = b" ".join(b" ".join(data[a:b].tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)).split())
+            size = words.end - words.start
+            start = np.concatenate([[0], np.cumsum(size + 1)])
+            last = at + n_windows + width - 2
+            held: dict[bytes, list[int]] = {}
+            for i, (a, b) in enumerate(zip(start[at].tolist(), (start[last] + size[last]).tolist(), strict=True)):
+                held.setdefault(plain[a:b], []).append(i)
+            on, gone = [], []
+            for same in held.values():
+                if len(same) == 1:
+                    on.append(same[0])
+                    continue
+                mine = ids[owner[same]]
+                least = mine.min()
+                seen = set()
+                for i, d in zip(same, mine, strict=True):
+                    if d > least:
+                        gone.append(i)
+                    elif (key := (rk[owner[i]], at[i])) not in seen:
+                        seen.add(key)
+                        on.append(i)
+            texts = {k: v for v, s in held.items() for k in s}
+            pos = at - words.first[owner]
+            if gone:
+                yield from sized(_spread(rk, owner[gone], pos[gone], n_windows[gone], parts), _CUT_ARROW)
+            on = np.array(on)
+            place = _place(name[on], parts, bits)
+            order = np.argsort(place, kind="stable")
+            on, place = on[order], place[order]
+            cut = np.append(runs(place), len(place))
+            rows = []
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                who, own = np.unique(owner[on[a:b]], return_inverse=True)
+                joined = b"\n".join(texts[i] for i in on[a:b].tolist())
+                p = int(place[a])
+                rows.append(
+                    {"part": p // BUCKETS, "bucket": p % BUCKETS, "own": pack(own.astype(np.uint32)), "rk": pack(rk[who]), "id": pack(ids[who]), "pos": pack(pos[on[a:b]].astype(np.uint32)), "words": zstandard.ZstdCompressor(level=3, write_content_size=True).compress(joined), "gone": None}
+                )
+            yield from sized(rows, _CUT_ARROW)
 
     return run
 
 
-def _later(parts: int):
-    """Places of windows that an earlier id holds too, to their owners."""
+_CUT = "part int, bucket int, own binary, rk binary, id binary, pos binary, words binary, gone binary"
+_CUT_ARROW = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("own", "rk", "id", "pos", "words", "gone"))])
+
+
+def _spread(rk, owner, pos, n_windows, parts: int) -> list[dict]:
+    """Rows that take the places of windows to the partition of their owner; they pass the comparison by."""
+    owner = np.repeat(owner, n_windows)
+    each = np.repeat(pos - np.concatenate([[0], np.cumsum(n_windows)[:-1]]), n_windows) + np.arange(int(n_windows.sum()))
+    return [{"part": r["part"], "bucket": BUCKETS, "own": r["own"], "rk": r["rk"], "id": None, "pos": None, "words": None, "gone": r["found"]} for r in _to_owner(rk, owner, each, parts)]
+
+
+def _compare(width: int, parts: int):
+    """Places of windows whose words an earlier id holds too, to their owners. Windows are compared as texts."""
 
     def run(batches):
-        out: list[pa.RecordBatch] = []
-        found = _opened(_without_gone(batches, out))
-        yield from out
-        if found is None:
-            return
-        token, owner, pos, rk, ids = found
-        order = np.lexsort((ids[owner], token))
-        token, owner, pos = token[order], owner[order], pos[order]
-        heads = runs(token)
-        later = ids[owner] > np.repeat(ids[owner][heads], np.diff(np.append(heads, len(token))))
-        if later.any():
-            yield from sized(_to_owner(owner[later], rk, ids, parts, pos=pos[later], gone=True), WIRE_ARROW)
+        def plain():
+            for batch in batches:
+                gone = batch.column(7).is_valid()
+                if gone.true_count:
+                    ready = batch.filter(gone)
+                    back.append(pa.RecordBatch.from_arrays([ready.column(0), ready.column(3), ready.column(2), ready.column(7)], schema=BACK_ARROW))
+                yield batch.filter(pa.compute.invert(gone))
+
+        back: list[pa.RecordBatch] = []
+        for rows in buckets(plain()):
+            yield from back
+            back.clear()
+            held: dict[bytes, list[tuple[int, int, int]]] = {}
+            rks: list[np.ndarray] = []
+            at = 0
+            for r in rows:
+                rk, ids = unpack(r["rk"], np.int64), unpack(r["id"], np.int64)
+                own = unpack(r["own"], np.uint32).astype(np.int64)
+                texts = zstandard.ZstdDecompressor().decompress(r["words"]).split(b"\n")
+                for t, d, o, p in zip(texts, ids[own].tolist(), (own + at).tolist(), unpack(r["pos"], np.uint32).tolist(), strict=True):
+                    held.setdefault(t, []).append((d, o, p))
+                rks.append(rk)
+                at += len(rk)
+            least: dict[bytes, int] = {}
+            windows = {}
+            for t, found in held.items():
+                first = min(found)[0]
+                w = t.split(b" ")
+                windows[t] = mine = [b" ".join(w[i : i + width]) for i in range(len(w) - width + 1)]
+                for x in mine:
+                    if (old := least.get(x)) is None or first < old:
+                        least[x] = first
+            owner, pos = [], []
+            for t, found in held.items():
+                before = [least[x] for x in windows[t]]
+                for d, o, p in found:
+                    later = [p + i for i, x in enumerate(before) if x < d]
+                    owner += [o] * len(later)
+                    pos += later
+            if owner:
+                yield from sized(_to_owner(np.concatenate(rks), np.array(owner), np.array(pos), parts), BACK_ARROW)
+        yield from back
+        trim()
 
     return run
 
@@ -291,27 +502,36 @@ def _cut(width: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, with_text: bool = False, name_bits: int = NAME_BITS) -> DataFrame:
     """Removes every word that a window of `width` words covers which also starts in a document with a smaller id.
 
     Returns a row for each row of docs: (id_col, n_words, n_removed, kept_sha256[, kept_text]); the kept words are
-    joined by one space. Other columns are not read. id_col is integral. Null and word-less texts have no words; rows
-    with a null id neither remove nor lose words; rows that share an id don't remove each other's; windows repeated
-    within a document stay unless an earlier document holds them. An empty table gives an empty table. width is 13 or
-    more, so that a window has an interior.
+    joined by one space. Other columns are not read. id_col must be integral (else ValueError). Null and word-less texts
+    have no words; rows with a null id neither remove nor lose words; rows that share an id don't remove each other's;
+    windows repeated within a document stay unless an earlier document holds them. An empty table gives an empty table.
+    width is 13 or more, so that a window holds symbols of the highest level. name_bits, 48 at most, changes the cost only.
     """
-    if width < 2 * MARGIN + LONGEST + 3:
-        raise ValueError(f"width must be {2 * MARGIN + LONGEST + 3} or more")
+    if width < 13:
+        raise ValueError("width must be 13 or more")
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{id_col} must be integral")
     parts = shuffle_parts(docs.sparkSession)
     x = docs.select(F.xxhash64(id_col, text_col).alias("rk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartition(parts, "rk")
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartitionById(parts, F.col("part"))
 
-    kept = "rk long, found binary"
-    names = dealt(dealt(x.mapInArrow(_name(width, parts), WIRE)).mapInArrow(_shared(parts), WIRE)).mapInArrow(_gather, kept)
-    asked = x.join(names.hint("shuffle_hash"), "rk").select("rk", "id", "text", "found")
-    places = dealt(dealt(asked.mapInArrow(_compare(width, parts), WIRE)).mapInArrow(_later(parts), WIRE)).mapInArrow(_gather, kept)
+    def back(df: DataFrame, name: str) -> DataFrame:
+        """What came back, a row for each owner."""
+        return dealt(df).mapInArrow(_gather, "rk long, found binary").withColumnRenamed("found", name)
+
+    state = x
+    for level in range(1, LEVELS + 2):
+        sent = dealt(state.mapInArrow(_named(width, level, parts, name_bits), WIRE)).sortWithinPartitions("bucket")
+        lone = back(sent.mapInArrow(_lone(parts), BACK), f"lone{level}")
+        state = state.join(lone.hint("shuffle_hash"), "rk", "left")
+    sent = dealt(state.mapInArrow(_passages(width, parts, name_bits), _CUT)).sortWithinPartitions("bucket")
+    places = back(sent.mapInArrow(_compare(width, parts), BACK), "found")
     out = x.join(places.hint("shuffle_hash"), "rk", "left").select("rk", "id", "text", "found")
     return _with_ids(out, docs, id_col, width, with_text)
 

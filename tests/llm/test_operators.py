@@ -372,3 +372,70 @@ def test_substring_dedup(spark, docs, rows, empty, batch):
     assert substring.remove_repeats(empty).count() == 0
     with pytest.raises(ValueError):
         substring.remove_repeats(docs, width=8)
+
+
+def brute_repeats(rows, width=13):
+    least: dict = {}
+    for d, text, *_ in rows:
+        w = words(text)
+        for i in range(len(w) - width + 1 if d is not None else 0):
+            k = tuple(w[i : i + width])
+            least[k] = min(least.get(k, d), d)
+
+    def one(d, text):
+        w = words(text)
+        gone = {j for i in range(len(w) - width + 1) if d is not None and least[tuple(w[i : i + width])] < d for j in range(i, i + width)}
+        return d, len(w), len(gone), sha(" ".join(x for j, x in enumerate(w) if j not in gone))
+
+    return sorted(str(one(r[0], r[1])) for r in rows)
+
+
+def _passages():
+    """Runs of one word and of phrases, cut by windows at either end; passages that begin or end a text; edits within."""
+    import random
+
+    from .conftest import prose
+
+    r, shared = random.Random(4), prose(50, 40)
+    rows = [(0, "lo " * 30 + prose(51, 20)), (1, prose(52, 9) + " lo" * 14), (2, "lo " * 12), (3, "lo ta " * 20), (4, prose(53, 5) + " ta lo" * 9 + " ta"), (5, "lo " * 8 + prose(54, 5) + " ta" * 40), (6, "ta " * 3 + "lo " * 8 + prose(54, 5) + " ta" * 7)]
+    for i in range(7, 30):
+        w = shared.split()
+        a, n = r.randrange(25), r.randrange(10, 41)
+        w = w[a : a + n]
+        if r.random() < 0.5:
+            w[r.randrange(len(w))] = f"x{i}"
+        rows.append((i, "\n".join([prose(60 + i, r.randrange(20)), " \t".join(w), prose(90 + i, r.randrange(20))])))
+    return rows
+
+
+@pytest.mark.parametrize("bits", [48, 3])
+def test_substring_dedup_of_runs_and_of_names_that_collide(spark, bits):
+    """With names of 3 bits almost all different symbols and blocks share names; the words decide."""
+    rows = _passages()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_repeats(rows)
+    assert found(substring.remove_repeats(df, name_bits=bits), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+    assert sum(" 0, " not in x for x in want) > 10
+
+
+def test_names_of_equal_windows_are_equal():
+    """Wherever a window stands, its anchor covers the same words of it, and names of levels settle on the same parts."""
+    import pyarrow as pa
+
+    import numpy as np
+
+    none = np.zeros(0, np.uint64)
+    seen: dict = {}
+    for d, text in _passages():
+        w = common.Words(*common.utf8(pa.array([text])), common.SAME, common.SPACES)
+        made = substring.Windows(w, substring.levels_of(w, 2, none, 48), 13)
+        plain = words(text)
+        for at, lo, hi in zip(made.at.tolist(), made.lo.tolist(), made.hi.tolist(), strict=True):
+            assert at <= lo < hi <= at + 13
+            assert seen.setdefault(tuple(plain[at : at + 13]), (lo - at, hi - at)) == (lo - at, hi - at), (d, at)
+    assert sum(hi - lo < 13 for lo, hi in seen.values()) > 0.8 * len(seen)
+
+
+def test_substring_dedup_takes_integral_ids_only(spark):
+    with pytest.raises(ValueError):
+        substring.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
