@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from docframe.llm import decontaminate, jaccard, mixing, quality, sharding
-from docframe.llm.common import shared_dir
+from docframe.llm.common import remove, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def slot_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.with_shards(docs, map_path=sharding.new_map_path(spark))
+    return sharding.with_shards(docs, map_path=sharding.start_map(spark, sharding.new_map_path(spark)))
 
 
 STAGES = [
@@ -43,10 +43,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each one's result written as Parquet to the shared folder and read again."""
+    """All stages, each one's result written as Parquet to the shared folder and read again.
+
+    A stage's input is deleted once its result is committed, so that the folder holds two copies of the corpus at most.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     at = f"{shared_dir(spark)}/docframe/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{i}")
         docs = spark.read.parquet(f"{at}/{i}")
+        if i:
+            remove(spark, f"{at}/{i - 1}")
     return docs

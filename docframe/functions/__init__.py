@@ -1,4 +1,4 @@
 """Column functions: null-tolerant predicates, compatible scalars, hashes and parsers."""
 
-from .predicates import OPS, predicate
+from .predicates import OPS, known, negated, predicate
 from .scalars import *  # noqa: F403

@@ -7,6 +7,7 @@ from datetime import UTC, datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 __all__ = [
     "add", "array_path", "checksum", "concat", "csv_cell", "date_text", "divide", "duration", "length", "like", "modulo", "multiply",
@@ -87,7 +88,7 @@ def date_text() -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Runs of a-z and runs of digits of the text in lower case."""
+    """Runs of a-z and runs of 0-9 of the text in lower case."""
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+|[0-9]+"), F.lit(0))
 
 
@@ -102,9 +103,20 @@ def checksum(*columns: str, algorithm: str = "crc32") -> Column:
     return F.crc32(text.cast("binary")) if algorithm == "crc32" else F.substring(F.sha2(text, 256), 1, 16)
 
 
-def path(name: str, columns: list[str]) -> Column:
-    """A dotted path, looked for in data first, then among the other columns."""
-    return F.col(f"data.{name}") if "data" in columns and name.split(".")[0] not in columns else F.col(name)
+def _has(kind: T.DataType, parts: list[str]) -> bool:
+    for p in parts:
+        if not isinstance(kind, T.StructType) or p not in kind.fieldNames():
+            return False
+        kind = kind[p].dataType
+    return True
+
+
+def path(name: str, schema: T.StructType) -> Column:
+    """A dotted path: what data has under it, else, where that is null or missing, what the row itself has."""
+    parts = name.split(".")
+    if not _has(schema, ["data", *parts]):
+        return F.col(name)
+    return F.coalesce(F.col(f"data.{name}"), F.col(name)) if _has(schema, parts) else F.col(f"data.{name}")
 
 
 def array_path(array: Column, field: str, first: bool = False) -> Column:

@@ -1,37 +1,50 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
-One pass over the texts hashes each document's distinct word shingles. Shingles travel as sorted 48-bit numbers with
-16-bit owners, packed per flush and bucket, to be counted; their document frequencies travel back the same way, and
-each document orders its shingles by (frequency, number): rare ones first. Two sets of n and m shingles with a Jaccard
-similarity t or more share one of the first n - ceil(t n) + 1 in that order. Shingles of one document only can't be
-shared, so a document whose prefix holds nothing else has no partner and goes no further.
-
-What is left is joined on the shared prefix shingles. Shingles with many owners are first joined within chunks of
-CHUNK owners, two ways; that finds the bulk of a group of copies in linear work. Then only pairs whose documents are
-not yet known to be connected are joined across chunks: owners outside a shingle's largest component with all its
-owners, so that a large group of copies isn't joined with itself. Every pair passes the length, positional and suffix
-filters and is verified once. Nothing is capped: the second join covers all that the first left out.
+One pass over the texts hashes each document's distinct word shingles. Shingles travel as sorted 64-bit numbers with
+small owner numbers, packed per flush and bucket, to be counted; their document frequencies travel back the same way,
+and each document orders its shingles by (frequency, number): rare ones first. Two sets of n and m shingles with a
+Jaccard similarity t or more share one of the first n - ceil(t n) + 1 in that order. Shingles of one document only
+can't be shared, so a document whose prefix holds nothing else has no partner and goes no further.
+
+A shingle that a share of a flush's sets holds (HOT, HOT_SHARE) is hot: only its number of owners in the flush travels
+to be counted, never the owners. Hot shingles rank behind all others. Only sets whose prefix reaches into their hot
+shingles need the order among those; they are joined with the hot shingles' frequencies afterwards.
+
+What is left is joined on the shared prefix shingles. Of a pair, the smaller set's shingle must stand in the first
+n (1 - t) / (1 + t), so only such rows look for partners, among sets that are no smaller: sets that have a common
+shingle late in their prefix never meet there. Shingles with many owners are first joined within chunks of CHUNK
+owners, two ways; that finds the bulk of a group of copies in linear work. Then only pairs whose documents are not yet
+known to be connected are joined across chunks: owners outside a shingle's largest component with all its owners, so
+that a large group of copies isn't joined with itself. Every row knows its shingle's frequency, so that the rows of a
+common one are dealt to many tasks by a salt. Every pair passes the length, positional and suffix filters and is
+verified once. Nothing is capped: the second join covers all that the first left out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACES, U64, Words, checkpointed, flushes, folded, mix, pack, rows_of, runs, shuffle_parts, sized, trim, unpack, utf8, written
 from .components import components, relabelled
 
-#: Shingles that so many texts of one flush share aren't sent with their owners; they rank last everywhere.
-HOT = 4096
+#: Shingles that so many sets of one flush share, and one in HOT_SHARE of them, aren't sent with their owners.
+HOT, HOT_SHARE = 32, 64
 HOT_DF = 0xFFFFFFFF
-#: Owners of a shingle that are joined all with all.
-CHUNK = 16
-LOW48 = U64((1 << 48) - 1)
-META, TOKENS, BACK, PREFIX, SET = range(5)
-WIRE = "kind int, part int, doc_id {id}, n long, cls long, tok binary, own binary, ocls binary, on_ binary, df binary"
-FOUND = "kind int, doc_id {id}, n long, cls long, token long, pos int, h long, toks array<long>"
+#: Owners of a shingle that are joined all with all; rows of a shingle that meet in one task.
+CHUNK, SPLIT = 16, 512
+#: Buckets for each partition; a task holds one at a time. Entries that a task gathers before it sends them on.
+BUCKETS, HELD = 4, 1_000_000
+#: Rows of the most common hot shingles that are broadcast.
+BROADCAST_HOT = 1_000_000
+#: Rows to drop that are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_DROPPED = 1_000_000
+META, TOKENS, HOTS, BACK, PREFIX, SET, LATE = range(7)
+WIRE = "kind int, part int, bucket int, doc_id {id}, n long, cls long, tok binary, own binary, ocls binary, on_ binary, df binary"
+FOUND = "kind int, doc_id {id}, n long, cls long, token long, pos int, h long, df long, toks array<long>"
+LATER = "cls long, n long, token long, pos int, h long, df long"
 
 
 def _arrow(ddl: str, id_type: pa.DataType) -> pa.Schema:
@@ -61,29 +74,58 @@ def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return s[keep], own[keep]
 
 
-def _blobs(token: np.ndarray, owner: np.ndarray, edges: np.ndarray, cls: np.ndarray, n: np.ndarray, df: np.ndarray | None, kind: int) -> list[dict]:
-    """Rows for each bucket between edges; owner numbers of a bucket are dense."""
+def _blobs(token: np.ndarray, owner: np.ndarray, place: np.ndarray, cls: np.ndarray, n: np.ndarray, df: np.ndarray | None, kind: int) -> list[dict]:
+    """Rows for each place, a bucket's number; place is sorted, token sorted within. Owner numbers of a row are dense."""
     out = []
-    for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        if a == b:
-            continue
+    cut = np.append(runs(place), len(place)).tolist()
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
         who, own = np.unique(owner[a:b], return_inverse=True)
         small = np.uint16 if len(who) < 65536 else np.uint32
-        out.append({"kind": kind, "part": p, "tok": pack(token[a:b], True), "own": bytes([small().itemsize]) + pack(own.astype(small)), "ocls": pack(cls[who]), "on_": pack(n[who].astype(np.uint32)), "df": pack(df[a:b]) if df is not None else None})
+        p = int(place[a])
+        out.append(
+            {"kind": kind, "part": p // BUCKETS, "bucket": p % BUCKETS, "tok": pack(token[a:b], True), "own": bytes([small().itemsize]) + pack(own.astype(small)), "ocls": pack(cls[who]), "on_": pack(n[who].astype(np.uint32)), "df": pack(df[a:b]) if df is not None else None}
+        )
     return out
 
 
-def _opened(row: dict) -> tuple[np.ndarray, ...]:
-    own = unpack(row["own"][1:], {2: np.uint16, 4: np.uint32}[row["own"][0]]).astype(np.int64)
-    return unpack(row["tok"], U64, True), own, unpack(row["ocls"], U64), unpack(row["on_"], np.uint32)
+def _opened(rows: list[dict]) -> tuple[np.ndarray, ...] | None:
+    """token, owner and df of all rows; class and size of each owner, a class once."""
+    tokens, owners, classes, sizes, dfs, at = [], [], [], [], [], 0
+    for r in rows:
+        own = unpack(r["own"][1:], {2: np.uint16, 4: np.uint32}[r["own"][0]])
+        cls = unpack(r["ocls"], U64)
+        tokens.append(unpack(r["tok"], U64, True))
+        owners.append(own.astype(np.int32) + np.int32(at))
+        classes.append(cls)
+        sizes.append(unpack(r["on_"], np.uint32))
+        if r["df"] is not None:
+            dfs.append(unpack(r["df"], np.uint32))
+        at += len(cls)
+    if not tokens:
+        return None
+    cls, same, number = np.unique(np.concatenate(classes), return_index=True, return_inverse=True)
+    df = np.concatenate(dfs) if dfs else None
+    return np.concatenate(tokens), number.astype(np.int32)[np.concatenate(owners)], df, cls, np.concatenate(sizes)[same].astype(np.int64)
+
+
+def _place(token: np.ndarray, parts: int) -> np.ndarray:
+    """Number of the bucket of each token; buckets are ranges, BUCKETS to a part."""
+    many = parts * BUCKETS
+    return np.searchsorted(np.array([(i << 64) // many for i in range(1, many)], U64), token, "right")
 
 
 def _back(token, owner, cls, n, df, parts):
-    """Blobs that take (token, df) to the partition of their owner's class; sorted by token within."""
-    part = (cls % U64(parts)).astype(np.int64)[owner]
-    order = np.lexsort((token, part))
-    part = part[order]
-    return _blobs(token[order], owner[order], np.searchsorted(part, np.arange(parts + 1)), cls, n, df[order], BACK)
+    """Rows that take (token, df) to the bucket of their owner's class."""
+    place = ((cls % U64(parts)) * U64(BUCKETS) + (cls // U64(parts)) % U64(BUCKETS)).astype(np.int64)[owner]
+    order = np.lexsort((token, place))
+    return _blobs(token[order], owner[order], place[order], cls, n, df[order], BACK)
+
+
+def _hot_rows(token: np.ndarray, count: np.ndarray, parts: int) -> list[dict]:
+    """Rows that take (token, number of owners) to the bucket of the token; tokens are sorted."""
+    place = _place(token, parts)
+    cut = np.append(runs(place), len(place)).tolist()
+    return [{"kind": HOTS, "part": int(place[a]) // BUCKETS, "bucket": int(place[a]) % BUCKETS, "tok": pack(token[a:b], True), "df": pack(count[a:b].astype(np.int64))} for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _scan(width: int, parts: int, id_type: pa.DataType):
@@ -99,63 +141,63 @@ def _scan(width: int, parts: int, id_type: pa.DataType):
                 heads = runs(own)
                 sums[own[heads]] = np.add.reduceat(mix(s + U64(width)), heads)
             cls = mix(sums + n.astype(U64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), META, np.int32)), pa.array((cls % U64(parts)).astype(np.int32)), batch.column(0), pa.array(n.astype(np.int64)), pa.array(cls.view(np.int64), mask=n == 0), *[pa.nulls(len(n), pa.binary())] * 5], schema=schema
-            )
+            at = [pa.array(np.full(len(n), META, np.int32)), pa.array((cls % U64(parts)).astype(np.int32)), pa.array(np.full(len(n), -1, np.int32))]
+            yield pa.RecordBatch.from_arrays([*at, batch.column(0), pa.array(n.astype(np.int64)), pa.array(cls.view(np.int64), mask=n == 0), *[pa.nulls(len(n), pa.binary())] * 5], schema=schema)
             # exact copies within the flush send their shingles once
             first = np.zeros(words.n_texts, bool)
             first[np.unique(cls, return_index=True)[1]] = True
             s, own = s[first[own]], own[first[own]]
             if not len(s):
                 continue
-            both = np.sort(((s * U64(0x9E3779B97F4A7C15)) & ~U64(0xFFFF)) | own.astype(U64))
-            token, owner = both >> U64(16), (both & U64(0xFFFF)).astype(np.int64)
+            order = np.argsort(s, kind="stable")
+            token, owner = s[order], own[order]
             heads = runs(token)
             size = np.diff(np.append(heads, len(token)))
+            common = size >= max(HOT, int(first.sum()) // HOT_SHARE)
             rows: list[dict] = []
-            if (size >= HOT).any():
-                hot = np.repeat(size >= HOT, size)
+            if common.any():
+                rows += _hot_rows(token[heads[common]], size[common], parts)
+                hot = np.repeat(common, size)
                 rows += _back(token[hot], owner[hot], cls, n, np.full(hot.sum(), HOT_DF, np.uint32), parts)
-                flag = token[heads[size >= HOT]]  # one entry that marks the shingle as hot, of no owner
-                rows += [r | {"df": b"hot"} for r in _blobs(flag, np.zeros(len(flag), np.int64), np.searchsorted(flag, _edges(parts)), cls[:1], n[:1], None, TOKENS)]
                 token, owner = token[~hot], owner[~hot]
-            rows += _blobs(token, owner, np.searchsorted(token, _edges(parts)), cls, n, None, TOKENS)
+            if len(token):
+                rows += _blobs(token, owner, _place(token, parts), cls, n, None, TOKENS)
             yield from sized(rows, schema)
 
     return run
 
 
-def _edges(parts: int) -> np.ndarray:
-    return np.array([min((i << 48) // parts, (1 << 48) - 1) for i in range(parts)] + [1 << 48], U64)
+def _split(batches, kinds: tuple[int, ...]):
+    """(batch, None) for rows of other kinds, at once, and (None, rows) for each bucket of these kinds."""
+    held: list[dict] = []
+    for batch in batches:
+        mine = np.isin(batch.column(0).to_numpy(zero_copy_only=False), kinds)
+        if not mine.all():
+            yield batch.filter(pa.array(~mine)), None
+        for row in batch.filter(pa.array(mine)).to_pylist() if mine.any() else ():
+            if held and held[-1]["bucket"] != row["bucket"]:
+                yield None, held
+                held = []
+            held.append(row)
+    if held:
+        yield None, held
 
 
 def _count(parts: int, id_type: pa.DataType):
     """Frequencies of one range of shingles, sent back to their owners where two or more sets hold them."""
     schema = _arrow(WIRE, id_type)
 
-    def run(batches):
-        tokens, owners, classes, sizes, hots, at = [], [], [], [], [], 0
-        for batch in batches:
-            kinds = batch.column(0).to_numpy(zero_copy_only=False)
-            if (pass_on := kinds != TOKENS).any():
-                yield batch.filter(pa.array(pass_on))
-            for row in batch.filter(pa.array(kinds == TOKENS)).to_pylist():
-                token, own, cls, n = _opened(row)
-                if row["df"]:
-                    hots.append(token)
-                    continue
-                tokens.append(token)
-                owners.append((own + at).astype(np.int32))
-                classes.append(cls)
-                sizes.append(n)
-                at += len(cls)
-        trim()
-        if not tokens:
-            return
-        token, owner, cls, n = map(np.concatenate, (tokens, owners, classes, sizes))
-        del tokens, owners
-        cls, same, number = np.unique(cls, return_index=True, return_inverse=True)
-        n, owner = n[same], number.astype(np.int32)[owner]
+    def counted(rows: list[dict]):
+        hot = [r for r in rows if r["kind"] == HOTS]
+        hot_token, hot_n = np.zeros(0, U64), np.zeros(0, np.int64)
+        if hot:
+            token = np.concatenate([unpack(r["tok"], U64, True) for r in hot])
+            hot_token, number = np.unique(token, return_inverse=True)
+            hot_n = np.zeros(len(hot_token), np.int64)
+            np.add.at(hot_n, number, np.concatenate([unpack(r["df"], np.int64) for r in hot]))
+        if (found := _opened([r for r in rows if r["kind"] == TOKENS])) is None:
+            return None, hot_token, hot_n
+        token, owner, _, cls, n = found
         order = np.lexsort((owner, token))
         token, owner = token[order], owner[order]
         new = np.ones(len(token), bool)
@@ -164,79 +206,141 @@ def _count(parts: int, id_type: pa.DataType):
         heads = runs(token)
         size = np.diff(np.append(heads, len(token)))
         df = np.minimum(size, HOT_DF - 1).astype(np.uint32)
-        if hots:
-            df[np.isin(token[heads], np.concatenate(hots))] = HOT_DF
+        if len(hot_token):
+            at = np.minimum(np.searchsorted(hot_token, token[heads]), len(hot_token) - 1)
+            is_hot = hot_token[at] == token[heads]
+            np.add.at(hot_n, at[is_hot], size[is_hot])
+            df[is_hot] = HOT_DF
         df = np.repeat(df, size)
         shared = df > 1
-        if shared.any():
-            yield from sized(_back(token[shared], owner[shared], cls, n, df[shared], parts), schema)
+        return (token[shared], owner[shared], cls, n, df[shared]), hot_token, hot_n
+
+    def run(batches):
+        held: list[tuple] = []
+        for passed, rows in _split(batches, (TOKENS, HOTS)):
+            if passed is not None:
+                yield passed
+                continue
+            entries, hot_token, hot_n = counted(rows)
+            if len(hot_token):
+                yield from sized(_hot_rows(hot_token, hot_n, parts), schema)
+            if entries is not None and len(entries[0]):
+                held.append(entries)
+            if sum(len(e[0]) for e in held) >= HELD:
+                yield from sized(_sent_back(held, parts), schema)
+                held = []
+        if held:
+            yield from sized(_sent_back(held, parts), schema)
+        trim()
 
     return run
 
 
+def _sent_back(held: list[tuple], parts: int) -> list[dict]:
+    """_back() of several buckets' (token, owner, cls, n, df) at once."""
+    before = np.concatenate([[0], np.cumsum([len(e[2]) for e in held])])
+    owner = np.concatenate([e[1].astype(np.int64) + b for e, b in zip(held, before[:-1], strict=True)])
+    return _back(np.concatenate([e[0] for e in held]), owner, *(np.concatenate([e[i] for e in held]) for i in (2, 3, 4)), parts)
+
+
+def _behind(mine: np.ndarray) -> np.ndarray:
+    """How many shingles stand behind each position, in four classes of 16 bits."""
+    left = [np.cumsum((mine[::-1] & 3) == b)[::-1] - ((mine & 3) == b) for b in range(4)]
+    return sum(np.minimum(x, 65535).astype(U64) << U64(16 * b) for b, x in enumerate(left)).view(np.int64)
+
+
 def _order(percent: int, id_type: pa.DataType):
-    """Rare-first order of each set, and the shared shingles of its prefix."""
+    """Rare-first order of each set, and the shared shingles of its prefix. Where the prefix reaches into hot shingles,
+    their order isn't known here: LATE rows hold them, pos being where they begin and h how many the prefix takes."""
     schema = _arrow(FOUND, id_type)
 
+    def filled(kind: int, n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(columns.get(f.name, pa.nulls(n, f.type)) for f in list(schema)[1:])], schema=schema)
+
     def run(batches):
-        tokens, owners, classes, sizes, dfs, at = [], [], [], [], [], 0
-        for batch in batches:
-            kinds = batch.column(0).to_numpy(zero_copy_only=False)
-            meta = batch.filter(pa.array(kinds == META))
+        for passed, rows in _split(batches, (BACK,)):
+            if passed is None:
+                yield from ordered(rows)
+                continue
+            kinds = passed.column(0).to_numpy(zero_copy_only=False)
+            meta = passed.filter(pa.array(kinds == META))
             if meta.num_rows:
-                yield pa.RecordBatch.from_arrays([meta.column(0), meta.column(2), meta.column(3), meta.column(4), *(pa.nulls(meta.num_rows, f.type) for f in list(schema)[4:])], schema=schema)
-            for row in batch.filter(pa.array(kinds == BACK)).to_pylist():
-                token, own, cls, n = _opened(row)
-                tokens.append(token)
-                owners.append((own + at).astype(np.int32))
-                classes.append(cls)
-                sizes.append(n)
-                dfs.append(unpack(row["df"], np.uint32))
-                at += len(cls)
+                yield filled(META, meta.num_rows, doc_id=meta.column(3), n=meta.column(4), cls=meta.column(5))
+            for r in passed.filter(pa.array(kinds == HOTS)).to_pylist():
+                token = unpack(r["tok"], U64, True)
+                yield filled(HOTS, len(token), token=pa.array(token.view(np.int64)), df=pa.array(unpack(r["df"], np.int64)))
         trim()
-        if not tokens:
-            return
-        token, owner, cls, n, df = map(np.concatenate, (tokens, owners, classes, sizes, dfs))
-        del tokens, owners, dfs
-        cls, same, number = np.unique(cls, return_index=True, return_inverse=True)
-        n, owner = n[same].astype(np.int64), number.astype(np.int32)[owner]
+
+    def ordered(rows: list[dict]):
+        token, owner, df, cls, n = _opened(rows)
         order = np.lexsort((token, df, owner))
         token, owner, df = token[order], owner[order], df[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-        token, owner = token[new], owner[new]
+        token, owner, df = token[new], owner[new], df[new]
         at = np.searchsorted(owner, np.arange(len(cls) + 1))
         k = np.diff(at)
         prefix = n - (n * percent + 99) // 100 + 1
         many = np.minimum(prefix - (n - k), k)  # shared shingles in the prefix; n - k belong to this set only
-        rows: list[dict] = []
+        plain = np.bincount(owner[df != HOT_DF], minlength=len(cls))  # shared shingles that aren't hot come first
+        out: list[dict] = []
         for i in np.flatnonzero(many > 0).tolist():
-            mine = token[at[i] : at[i + 1]].astype(np.int64)
-            lone, c = int(n[i] - k[i]), int(cls[i].view(np.int64))
-            # how many shingles stand behind each position, in four classes of 16 bits
-            left = [np.cumsum((mine[::-1] & 3) == b)[::-1] - ((mine & 3) == b) for b in range(4)]
-            h = sum(np.minimum(x, 65535).astype(U64) << U64(16 * b) for b, x in enumerate(left)).view(np.int64)
-            rows.append({"kind": SET, "n": int(n[i]), "cls": c, "toks": mine})
-            rows += [{"kind": PREFIX, "n": int(n[i]), "cls": c, "token": int(mine[j]), "pos": lone + j, "h": int(h[j])} for j in range(int(many[i]))]
-            if len(rows) > 5000:
-                yield rows_of(schema, rows)
-                rows = []
-        if rows:
-            yield rows_of(schema, rows)
+            mine = token[at[i] : at[i + 1]].view(np.int64)
+            lone, c, size, now = int(n[i] - k[i]), int(cls[i].view(np.int64)), int(n[i]), int(min(many[i], plain[i]))
+            h, seen = _behind(mine), df[at[i] : at[i] + now]
+            out.append({"kind": SET, "n": size, "cls": c, "toks": mine})
+            out += [{"kind": PREFIX, "n": size, "cls": c, "token": int(mine[j]), "pos": lone + j, "h": int(h[j]), "df": int(seen[j])} for j in range(now)]
+            if many[i] > now:
+                out.append({"kind": LATE, "n": size, "cls": c, "pos": lone + now, "h": int(many[i]) - now, "toks": mine[plain[i] :]})
+            if len(out) > 5000:
+                yield rows_of(schema, out)
+                out = []
+        if out:
+            yield rows_of(schema, out)
 
     return run
 
 
+def _late(batches):
+    """Prefix rows of hot shingles, which come in their order with their frequencies."""
+    schema = _arrow(LATER, pa.int64())
+    for batch in batches:
+        out: list[dict] = []
+        for r in batch.to_pylist():
+            h = _behind(np.array(r["toks"], np.int64))
+            out += [{"cls": r["cls"], "n": r["n"], "token": r["toks"][j], "pos": r["pos"] + j, "h": int(h[j]), "df": r["dfs"][j]} for j in range(r["want"])]
+        if out:
+            yield rows_of(schema, out)
+
+
+def _late_prefix(out: DataFrame) -> DataFrame:
+    """Prefix rows of the sets whose prefix reaches into hot shingles, by these shingles' frequencies.
+
+    The most common hot shingles, BROADCAST_HOT at most, are broadcast; of the others none has more owners than the
+    share that leaves, so a join by shingle has no large group.
+    """
+    late = out.filter(F.col("kind") == LATE).select("cls", "n", "pos", F.col("h").cast("int").alias("want"), "toks")
+    hot = out.filter(F.col("kind") == HOTS).select("token", "df")
+    most = max(4096, (hot.agg(F.sum("df")).first()[0] or 0) // BROADCAST_HOT)
+    common = F.broadcast(hot.filter(F.col("df") > most))
+    each = late.select("cls", F.explode("toks").alias("token"))
+    rest = each.join(common.select("token"), "token", "left_anti").join(hot.filter(F.col("df") <= most), "token")
+    ranked = each.join(common, "token").unionByName(rest).groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("r"))
+    rows = late.drop("toks").join(ranked, "cls").select("cls", "n", "pos", "want", F.col("r.token").alias("toks"), F.col("r.df").alias("dfs"))
+    return rows.mapInArrow(_late, LATER)
+
+
 def _byte(h: str, i: int):
     return F.shiftrightunsigned(F.col(h), 16 * i).bitwiseAND(F.lit(0xFFFF))
 
 
-def _pairs(left: DataFrame, right: DataFrame, on: list[str], percent: int, once) -> DataFrame:
+def _pairs(left: DataFrame, right: DataFrame, on: list[str], percent: int, also=None) -> DataFrame:
     """Pairs (one, other), one < other, of a row x of left and y of right that agree on the columns `on` and pass the filters.
 
-    once(x, y): what must hold besides, so that a pair is met from one side only.
+    x is the smaller set (of equal ones the one with the lesser number), whose first common shingle stands in its first
+    n (100 - p) / (100 + p). also(x, y): what must hold besides.
     """
-    a, b = left.alias("x"), right.alias("y")
+    a, b = left.filter(F.col("pos") * (100 + percent) <= F.col("n") * (100 - percent)).alias("x"), right.alias("y")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     short, long_ = F.least(x("n"), y("n")), F.greatest(x("n"), y("n"))
     length = short * 100 >= long_ * percent
@@ -247,7 +351,9 @@ def _pairs(left: DataFrame, right: DataFrame, on: list[str], percent: int, once)
     for i in range(4):
         behind = behind + F.least(_byte("x.h", i), _byte("y.h", i))
     suffix = (long_ >= 65535) | (behind * (100 + percent) >= need)
-    ok = once(x, y) & length & position & suffix
+    ok = ((x("n") < y("n")) | ((x("n") == y("n")) & (x("cls") < y("cls")))) & length & position & suffix
+    if also is not None:
+        ok = ok & also(x, y)
     for c in on:
         ok = ok & (x(c) == y(c))
     return a.join(b, ok).select(F.least(x("cls"), y("cls")).alias("one"), F.greatest(x("cls"), y("cls")).alias("other")).distinct()
@@ -268,7 +374,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     component_id is the least id of the component, the row's own included. Null and word-less texts have no shingles
     and link with nothing: component_id is their own id. Null ids get the component's least id that is not null, or
     null if it has none; repeated ids and repeated rows each get a row. An empty table gives an empty table.
-    Shingles are compared by 48-bit fingerprints, sets of shingles by 64-bit ones.
+    Shingles are compared by 64-bit fingerprints within a pair; sets whose 64-bit sums of fingerprints are equal count as equal.
     """
     joined = _labelled(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), width, percent)
     least = joined.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -286,34 +392,39 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     parts = shuffle_parts(spark)
     id_type, id_arrow = docs.schema["doc_id"].dataType.simpleString(), _id_arrow(docs)
     wire, found = WIRE.replace("{id}", id_type), FOUND.replace("{id}", id_type)
-    sent = docs.mapInArrow(_scan(width, parts, id_arrow), wire).repartitionById(parts, F.col("part"))
-    back = sent.mapInArrow(_count(parts, id_arrow), wire).repartitionById(parts, F.col("part"))
+    sent = docs.mapInArrow(_scan(width, parts, id_arrow), wire).repartitionById(parts, F.col("part")).sortWithinPartitions("bucket")
+    back = sent.mapInArrow(_count(parts, id_arrow), wire).repartitionById(parts, F.col("part")).sortWithinPartitions("bucket")
     out = written(back.mapInArrow(_order(percent, id_arrow), found), "jaccard")
 
     members = out.filter(F.col("kind") == META).select("doc_id", "n", "cls")
     sets = out.filter(F.col("kind") == SET).select("cls", "n", "toks")
-    prefix = out.filter(F.col("kind") == PREFIX).select("token", "cls", "n", "pos", "h")
-    owners = prefix.groupBy("token").agg(F.count("*").alias("g")).filter("g > 1")
-    prefix = checkpointed(prefix.join(owners, "token"))
+    prefix = out.filter(F.col("kind") == PREFIX).select("token", "cls", "n", "pos", "h", "df")
+    if not out.filter(F.col("kind") == LATE).isEmpty():
+        prefix = checkpointed(prefix.unionByName(_late_prefix(out)))
+    wide = prefix.filter(F.col("df") > CHUNK)
 
-    def chunked(salt: int) -> DataFrame:
-        chunks = F.pmod(F.xxhash64("cls", F.lit(salt)), F.ceil(F.col("g") / CHUNK))
-        dealt = prefix.withColumn("chunk", chunks)
-        return _pairs(dealt, dealt, ["token", "chunk"], percent, lambda x, y: x("cls") < y("cls"))
+    def chunked(rows: DataFrame, salt: int) -> DataFrame:
+        dealt = rows.withColumn("chunk", _salt("cls", salt, F.ceil(F.col("df") / CHUNK)))
+        return _pairs(dealt, dealt, ["token", "chunk"], percent)
 
-    first = chunked(0).union(chunked(1).join(prefix.filter(F.col("g") > CHUNK).select("cls").distinct(), F.col("one") == F.col("cls"), "left_semi")).distinct()
+    first = chunked(prefix, 0).union(chunked(wide, 1)).distinct()
     verified = checkpointed(_verified(first, sets, percent))
     links = verified.filter("link").select(F.col("one").alias("a"), F.col("other").alias("b"))
 
     # what chunks left out: shingles of more than one chunk whose owners aren't all connected yet
     known = components(links)
     labels = known.select(F.col("a").alias("cls"), "label")
-    wide = prefix.filter(F.col("g") > CHUNK).join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    shares = wide.groupBy("token", "label").agg(F.count("*").alias("c"))
-    torn = shares.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    wide = wide.join(torn, "token").withColumn("main", F.col("label") == F.col("main"))
-    # most owners of a common shingle are in one component by now: only the others look for partners
-    across = _pairs(wide.filter(~F.col("main")), wide, ["token"], percent, lambda x, y: (x("label") != y("label")) & (y("main") | (x("cls") < y("cls"))))
+    wide = wide.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    shares = wide.groupBy("token", "label").agg(F.count("*").alias("c"), F.max("df").alias("df"))
+    torn = shares.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("k"), F.sum("c").alias("g"), F.max("df").alias("df")).filter("k > 1")
+    by_df, by_g = (F.ceil(F.col(c) / SPLIT).cast("int") for c in ("df", "g"))
+    torn = torn.select("token", "main", "g", F.explode(F.sequence(F.lit(0), by_df - 1)).alias("salt"))
+    wide = wide.withColumn("salt", _salt("cls", 2, by_df)).join(torn, ["token", "salt"])
+    wide = checkpointed(wide.withColumn("main", F.col("label") == F.col("main")).withColumn("salt", _salt("cls", 2, by_g)))
+    # most owners of a common shingle are in one component by now: only the others look for partners, or are looked for
+    others = wide.filter(~F.col("main")).drop("salt").withColumn("salt", F.explode(F.sequence(F.lit(0), by_g - 1)))
+    apart = lambda x, y: x("label") != y("label")
+    across = _pairs(others, wide, ["token", "salt"], percent, apart).union(_pairs(wide.filter("main"), others, ["token", "salt"], percent, apart)).distinct()
     across = across.join(verified.select("one", "other"), ["one", "other"], "left_anti")
     more = _verified(across, sets, percent).filter("link").select("one", "other")
     # these join components: the label of a document without links is itself
@@ -325,6 +436,10 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return members.join(labels, "cls", "left").select("doc_id", "n", "cls", F.coalesce("label", "cls").alias("label"))
 
 
+def _salt(col: str, seed: int, many: Column) -> Column:
+    return F.pmod(F.xxhash64(col, F.lit(seed)), many).cast("int")
+
+
 def _id_arrow(docs: DataFrame) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -342,5 +457,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), key.alias("key")).cast(row).alias("doc_id"), F.col(text_col).alias("text"))
     joined = _labelled(keyed, width, percent).select("label", F.col("doc_id.id").alias("_gone"), F.col("doc_id.key").alias("_key"))
     least = joined.groupBy("label").agg(F.min("_gone").alias("least"))
-    dropped = joined.join(least, "label").filter(F.col("_gone") != F.col("least")).select("_gone", "_key").distinct()
+    dropped = checkpointed(joined.join(least, "label").filter(F.col("_gone") != F.col("least")).select("_gone", "_key").distinct())
+    if docs.schema[id_col].dataType.simpleString() == "bigint" and dropped.count() <= BROADCAST_DROPPED:
+        dropped = F.broadcast(dropped)  # texts stay where they are
     return docs.join(dropped, (F.col(id_col) == F.col("_gone")) & (key == F.col("_key")), "left_anti")

@@ -12,6 +12,8 @@ it has enough small ones.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -144,17 +146,20 @@ def _made_up(units: DataFrame, missing: DataFrame, few: bool) -> DataFrame:
     return joined.select("source", "key", "size", words.alias("words"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, seed: int = 7) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, seed: int = 7, tell: Column | None = None) -> DataFrame:
     """How often the mix takes each document: (id_col, source_col, repeat, size, source_size, target, copies, taken).
 
-    A row for each row of docs; repeat numbers the rows that agree in id, source and size (they are interchangeable).
+    A row for each row of docs; repeat numbers the rows that agree in id, source and size (they are interchangeable),
+    and in tell, a long, if that is given. _made_up() moves the shares of a source's smaller documents by what its larger
+    ones took too much or too little, so a single document's mean is near, not at, its share; the mean of a class is.
     Sums of taken words come near each target (see above), and no document has more than `most` copies. The
     result depends on (id, source, size) and seed alone, so reruns agree however rows are dealt. Null sources are one
     source, the last; null texts have size 0; documents of size 0 take nothing and have one copy; null ids are ids like
     others. Other columns are not read. An empty table gives an empty table.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_of(F.col(text_col)).alias("size"))
-    grouped = checkpointed(rows.groupBy("id", "source", "size").agg(F.count("*").alias("n")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_of(F.col(text_col)).alias("size"), *([] if tell is None else [tell.alias("tell")]))
+    of = rows.columns
+    grouped = checkpointed(rows.groupBy(*of).agg(F.count("*").alias("n")))
     t = targets(grouped, weights, most)
     few = t.count() <= BROADCAST_SOURCES
     t = checkpointed(t.select(F.col("source").alias("of"), F.col("n").alias("source_n"), "source_size", "target"))
@@ -163,7 +168,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     mean = F.col("source_size") / F.col("source_n")
     cls = sum((F.when(F.col("size") <= mean * c, 1).otherwise(0) for c in CUTS), F.lit(0))
-    every = every.withColumn("key", F.xxhash64("id", "source", "size", "repeat")).withColumns({"base": F.floor(share), "words": (share - F.floor(share)) * F.col("size"), "cls": cls})
+    every = every.withColumn("key", F.xxhash64(*of, "repeat")).withColumns({"base": F.floor(share), "words": (share - F.floor(share)) * F.col("size"), "cls": cls})
     every = checkpointed(every)
     open_ = every.filter("size > 0 AND words > 0").select("source", "key", "size", "words", "cls")
     ups, missing = None, None
@@ -181,22 +186,42 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
             missing = checkpointed(missing.withColumnRenamed("source", "of"))
     ups = ups.withColumn("one", F.lit(1))
     out = every.join(ups, "key", "left").withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.least(F.col("base") + F.coalesce("one", F.lit(0)), F.lit(most))).cast("long"))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "repeat", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), *of[3:], "repeat", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+#: Groups of equal rows that are broadcast at most; fewer than so many have more than this share of all rows.
+LARGE_GROUPS = 4096
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, seed: int = 7) -> DataFrame:
     """docs with each row repeated as often as the mix takes it; columns are those of docs.
 
-    Rows are joined to their copies by (id, source, size, repeat), repeats being numbered in the join's own partitions,
-    by a hash of the text, so that reruns take the same texts.
+    Rows find their copies by id, source, number of words and a hash of the text. Rows that agree in all four share
+    the copies of their group: each has the group's mean, rounded down or up. Rows of a group are numbered for that; a
+    group with more than 1 / LARGE_GROUPS of all rows within each of the tasks that read it, so it stays dealt.
     """
     columns = docs.columns
-    plan = mixed(docs, id_col, text_col, source_col, weights, most, seed).select(
-        F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("size").alias("_size"), F.col("repeat").alias("_repeat"), F.col("copies").alias("_copies")
-    )
-    plan = plan.filter("_copies > 0").withColumn("_k", F.xxhash64("_id", "_source", "_size"))
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), F.xxhash64(F.col(id_col), F.col(source_col), words_of(F.col(text_col))).alias("_k"), F.xxhash64(F.col(text_col)).alias("_text"))
-    row = row.withColumn("_repeat", F.row_number().over(Window.partitionBy("_k").orderBy("_text"))).drop("_text")
-    plan = plan.select("_k", F.col("_repeat").alias("_of"), "_copies")
-    # equality as a difference: with _k as the only join key, texts stay where the window has dealt them
-    return row.join(plan, (row["_k"] == plan["_k"]) & (F.col("_repeat") - F.col("_of") == 0)).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")
+    tell = F.xxhash64(F.col(text_col))
+    plan = mixed(docs, id_col, text_col, source_col, weights, most, seed, tell).groupBy(F.col(id_col).alias("p_id"), F.col(source_col).alias("p_source"), F.col("size").alias("p_size"), F.col("tell").alias("p_tell"))
+    plan = checkpointed(plan.agg(F.count("*").alias("n"), F.sum("copies").alias("copies")))
+    total = plan.agg(F.sum("n")).first()[0] or 0
+    large = plan.filter(F.col("n") > max(total // LARGE_GROUPS, 1))
+    some_large = not large.isEmpty()
+    pairs = [("_id", "p_id"), ("_source", "p_source"), ("_size", "p_size"), ("_tell", "p_tell")]
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), words_of(F.col(text_col)).alias("_size"), tell.alias("_tell"))
+    on = reduce(lambda x, y: x & y, (F.col(x).eqNullSafe(F.col(y)) for x, y in pairs))
+    rest = row.join(F.broadcast(large), on, "left_anti") if some_large else row
+    # numbered and joined by one hash, so that texts are dealt once; the columns themselves decide, counted so that they are no join keys
+    rest = rest.withColumn("_k", F.xxhash64(*(x for x, _ in pairs))).withColumn("k", F.row_number().over(Window.partitionBy("_k").orderBy("_k")))
+    alike = sum((F.when(F.col(x).eqNullSafe(F.col(y)), 1).otherwise(0) for x, y in pairs), F.lit(0)) == len(pairs)
+    small = rest.join(plan.withColumn("p_k", F.xxhash64(*(y for _, y in pairs))), (F.col("_k") == F.col("p_k")) & alike)
+    share = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("k") <= F.col("copies") % F.col("n"), 1).otherwise(0)
+    every = small.select("_row", share.cast("long").alias("copies"))
+    if some_large:
+        group = F.xxhash64("p_id", "p_source", "p_size", "p_tell")
+        held = checkpointed(row.join(F.broadcast(large), on).select("_row", "n", "copies", group.alias("g"), F.spark_partition_id().alias("task")))
+        first = Window.partitionBy("g").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+        before = held.groupBy("g", "task").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(first), F.lit(0))).drop("c")
+        numbered = held.withColumn("k", F.row_number().over(Window.partitionBy("g", "task").orderBy(F.lit(0)))).join(before, ["g", "task"]).withColumn("k", F.col("k") + F.col("before"))
+        every = every.union(numbered.select("_row", share.cast("long").alias("copies")))
+    return every.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

@@ -1,8 +1,10 @@
 """Quality rules, with verdicts on whole hosts: built-in functions only.
 
 Each text is measured in its own row, without a shuffle. Failures are added up by host (partial sums first, so a hot
-host is one row a task), each host's failure rate is shrunk towards the mean of all hosts by a beta prior whose weight
-is fitted to the spread of the rates, and the hosts whose shrunk rate is too high lose all their documents.
+host is one row a task), and each host's failure rate is shrunk towards the mean of all hosts by a beta prior. The
+prior's weight is fitted by moments: the spread of the hosts' rates, less the binomial noise that hosts of their sizes
+show anyway. Hosts whose shrunk rate is more than SPREADS standard deviations of the prior above its mean lose all their
+documents; the bar is LEAST_BAR at least, so that no host goes while most of its documents pass, and MOST_BAR at most.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Weight of the prior in documents: what the spread of rates gives, within these.
 PRIOR_LEAST, PRIOR_MOST = 1.0, 1000.0
+#: The bar for hosts: standard deviations of the prior above its mean, and the bar's bounds.
+SPREADS, LEAST_BAR, MOST_BAR = 3.0, 0.5, 0.9
 #: Hosts that are sent to all executors at most, and characters of their names; beyond, hosts are joined by a shuffle.
 BROADCAST_HOSTS, BROADCAST_CHARS = 50_000, 4_000_000
 
@@ -79,28 +83,43 @@ def failed(m: Column) -> Column:
     return base_failed(m) | (m["n_symbols"] * 10 > m["word_chars"]) | (m["n_dup_lines"] * 10 > m["n_lines"] * 3)
 
 
-def shrunk_hosts(marks: DataFrame) -> DataFrame:
-    """(host, n, f, rate) from (host, failed): rate is the failure rate under the fitted prior."""
-    hosts = marks.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("f"))
-    hosts = checkpointed(hosts)
+def fitted(hosts: DataFrame) -> tuple[float, float]:
+    """Mean and weight of the beta prior from (n, f) of each host.
+
+    The variance of observed rates is the hosts' own plus, for a host of n documents, about mean (1 - mean) / n; the
+    second part is taken off before the weight is fitted. Hosts that differ by no more than that get PRIOR_MOST.
+    """
     rate = F.col("f") / F.col("n")
-    mean, spread = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
-    mean, spread = mean or 0.0, spread or 0.0
-    weight = mean * (1 - mean) / spread - 1 if spread > 0 else PRIOR_MOST
-    weight = min(max(weight, PRIOR_LEAST), PRIOR_MOST)
-    return hosts.withColumn("rate", (F.col("f") + mean * weight) / (F.col("n") + weight))
+    mean, spread, noise = hosts.agg(F.avg(rate), F.var_pop(rate), F.avg(1 / F.col("n"))).first()
+    mean, spread, noise = mean or 0.0, spread or 0.0, noise or 0.0
+    own = spread - noise * mean * (1 - mean)
+    weight = mean * (1 - mean) / own - 1 if own > 0 else PRIOR_MOST
+    return mean, min(max(weight, PRIOR_LEAST), PRIOR_MOST)
+
+
+def bar(mean: float, weight: float) -> float:
+    """The shrunk rate above which a host is rejected."""
+    return min(max(mean + SPREADS * (mean * (1 - mean) / (weight + 1)) ** 0.5, LEAST_BAR), MOST_BAR)
+
+
+def shrunk_hosts(marks: DataFrame) -> DataFrame:
+    """(host, n, f, rate, bar) from (host, failed): the failure rate under the fitted prior, and the bar that follows from it."""
+    hosts = checkpointed(marks.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("f")))
+    mean, weight = fitted(hosts)
+    return hosts.withColumns({"rate": (F.col("f") + mean * weight) / (F.col("n") + weight), "bar": F.lit(bar(mean, weight))})
 
 
-def bad_hosts(marks: DataFrame, max_rate: float) -> DataFrame:
+def bad_hosts(marks: DataFrame, max_rate: float | None) -> DataFrame:
     """The hosts to reject, with a hint to broadcast them where their number and names are small."""
-    bad = shrunk_hosts(marks).filter(F.col("rate") > max_rate).select("host")
+    bad = shrunk_hosts(marks).filter(F.col("rate") > (F.col("bar") if max_rate is None else max_rate)).select("host")
     n, chars = bad.agg(F.count("*"), F.sum(F.length("host"))).first()
     return F.broadcast(bad) if n <= BROADCAST_HOSTS and (chars or 0) <= BROADCAST_CHARS else bad
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.9) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float | None = None) -> DataFrame:
     """Measures and verdict for each row of docs: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept. kept is false where base_failed, or where the host's shrunk failure rate is above max_rate.
+    base_failed, kept. kept is false where base_failed, or where the host's shrunk failure rate is above max_rate, by
+    default the bar that follows from the prior.
 
     Null texts count as empty, and fail. Null hosts are one host. Repeated ids and rows each get a row. Other columns
     are not read. An empty table gives an empty table.
@@ -113,7 +132,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     return out.select(F.col("id").alias(id_col), *(F.col("m")[c].alias(c) for c in names), fails.alias("base_failed"), (~fails & F.col("bad").isNull()).alias("kept"))
 
 
-def kept(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = 0.9) -> DataFrame:
+def kept(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float | None = None) -> DataFrame:
     """The rows of docs that judge() keeps, with docs' columns. Texts are never shuffled unless the bad hosts are many."""
     marks = docs.select(F.col(host_col).alias("host"), let(measures(F.col(text_col), exact=False), failed).alias("failed"))
     bad = bad_hosts(marks, max_rate).select(F.col("host").alias("_bad_host"))

@@ -5,6 +5,8 @@ A query derives the columns that it returns from its operator's results.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,18 +25,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for each page's URL by the five rules."""
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit words and items of each document, with a digest of the items."""
     return decontaminate.digest(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of each document; source is the host."""
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of each document, learnt from labelled rows that aren't held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels, where=~toxicity.held_out(F.col("doc_id")))
     out = toxicity.score(docs, model)
@@ -42,34 +48,48 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document."""
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and linked spans of each document, with a digest of the base ones."""
     return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZERS}/{TOKENIZER}") -> DataFrame:
-    """Totals after all documents were inserted as one batch, which is then applied again to no effect."""
-    import uuid
-
-    counted = token_rollup.count_tokens(table(spark, sf_dir, "documents").select("text", "source", "lang"), vocabulary)
+    """Totals of all documents that have a text, kept up by three batches, each of them committed twice to no effect.
+
+    `arrived` adds every document with a count by rule of thumb (a token to four bytes), `counted` revises the counts to
+    the tokenizer's, `withdrawn` takes away documents without a text. The first two are compacted before the third comes.
+    """
+    docs = table(spark, sf_dir, "documents").select("text", "source", "lang")
+    guessed = docs.withColumn("n_tokens", F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / 4).cast("long"))
+    arrived = token_rollup.inserts(guessed, TOKENIZER)
+    counted = token_rollup.revised(token_rollup.count_tokens(guessed.withColumnRenamed("n_tokens", "guess"), vocabulary), "guess", "n_tokens", TOKENIZER)
+    gone = token_rollup.inserts(docs.filter("coalesce(text, '') = ''").withColumn("n_tokens", F.lit(0).cast("long")), TOKENIZER, sign=-1)
     rollup = token_rollup.Rollup(spark, f"{shared_dir(spark)}/docframe/rollup-{uuid.uuid4().hex}")
-    changes = token_rollup.inserts(counted, TOKENIZER)
-    rollup.apply("documents", changes)
-    rollup.apply("documents", changes)
+    rollup.apply("arrived", arrived)
+    rollup.apply("counted", counted)
+    rollup.compact()
+    rollup.apply("withdrawn", gone)
+    for again, changes in (("arrived", arrived), ("counted", counted), ("withdrawn", gone)):
+        rollup.apply(again, changes)
     return rollup.totals()
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"), map_path=sharding.new_map_path(spark))
+    """Shard and slot of each document. The map is stored as version 1, slots dealt in turn, and edited by bytes to version 2."""
+    return sharding.shard(table(spark, sf_dir, "documents"), map_path=sharding.start_map(spark, sharding.new_map_path(spark)))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of each document under links of 75 of 100 shared shingles."""
     return jaccard.similarity_components(table(spark, sf_dir, "documents"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of each document's words stays, as a digest."""
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
 
@@ -119,9 +139,9 @@ m AS (
   FROM d LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 f AS (SELECT source, count(*) AS n, sum(CAST(base_failed OR n_symbols * 10 > word_chars OR n_dup_lines * 10 > n_lines * 3 AS INTEGER)) AS f FROM b GROUP BY source),
-q AS (SELECT avg(f / n) AS mean, var_pop(f / n) AS spread FROM f),
-w AS (SELECT mean, least(greatest(CASE WHEN spread > 0 THEN mean * (1 - mean) / spread - 1 ELSE 1000 END, 1), 1000) AS weight FROM q),
-bad AS (SELECT source FROM f, w WHERE (f + mean * weight) / (n + weight) > 0.9)
+q AS (SELECT avg(f / n) AS mean, var_pop(f / n) - avg(1 / n) * avg(f / n) * (1 - avg(f / n)) AS own FROM f),
+w AS (SELECT mean, least(greatest(CASE WHEN own > 0 THEN mean * (1 - mean) / own - 1 ELSE 1000 END, 1), 1000) AS weight FROM q),
+bad AS (SELECT source FROM f, w WHERE (f + mean * weight) / (n + weight) > least(greatest(mean + 3 * sqrt(mean * (1 - mean) / (weight + 1)), 0.5), 0.9))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM b.source) AS kept FROM b
 """

@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 from .common import checkpointed, shared_dir
 
 SLOTS = 4096
+#: How far the heaviest shard may stay above the mean when a stored map is edited.
+SLACK = 0.0001
 
 
 def spread(slot_bytes: dict[int, int], shards: int) -> dict[int, int]:
@@ -68,6 +70,12 @@ def save_map(spark: SparkSession, path: str, version: int, slot_map: dict[int, i
     rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
+def start_map(spark: SparkSession, path: str, shards: int = 8, slots: int = SLOTS) -> str:
+    """Writes version 1 of a new map: all slots, dealt to the shards in turn, before anything is known of their bytes."""
+    save_map(spark, path, 1, {s: s % shards for s in range(slots)})
+    return path
+
+
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, dict[int, int]]:
     """A version of a map, the latest by default. A map has as many rows as there are slots."""
     rows = spark.read.parquet(path)
@@ -76,6 +84,11 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> tupl
     return version, {r.vslot: r.shard for r in rows.filter(F.col("version") == version).collect()}
 
 
+def has_map(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def new_map_path(spark: SparkSession) -> str:
     """Where in the shared folder a run keeps the versions of its map."""
     return f"{shared_dir(spark)}/docframe/slots-{uuid.uuid4().hex}"
@@ -90,9 +103,11 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
 
     size: UTF-8 bytes of the text plus 1; null texts count as empty. slot numbers a shard's rows without gaps from 0.
     The law is `bytes`: sums of size are near equal, so grown_shard is null. Slots come from a hash of (id, size, crc32,
-    number of the row among those that agree in all three), so that no group of repeated ids or texts fills a slot. With
-    slot_map, that map is used (and edited for slots it lacks); with map_path, the map is written as the next version.
-    Other columns are not read. An empty table gives an empty table.
+    number of the row among those that agree in all three), so that no group of repeated ids or texts fills a slot.
+
+    With map_path, the latest map there, or slot_map if given, is edited by the bytes of the slots and written as the
+    next version; where there is none, a map is made from the bytes alone. Other columns are not read. An empty table
+    gives an empty table.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -101,12 +116,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     units = grouped.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
     units = checkpointed(units.withColumn("vslot", vslot(slots, "id", "size", "crc", "repeat")))
     weighed = {r.vslot: (r.bytes, r.rows) for r in units.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()}
-    held = {s: b for s, (b, _) in weighed.items()}
-    version, edited = 1, rebalanced(slot_map, held, shards) if slot_map is not None else spread(held, shards)
-    if map_path is not None:
-        if slot_map is not None:
-            version = load_map(spark, map_path)[0] + 1
-        save_map(spark, map_path, version, edited)
+    version, edited = _edited(spark, {s: b for s, (b, _) in weighed.items()}, shards, slot_map, map_path)
     first, before = {}, [0] * shards
     for s in sorted(weighed):
         first[s] = before[edited[s]]
@@ -120,17 +130,40 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     )
 
 
+def _edited(spark: SparkSession, held: dict[int, int], shards: int, slot_map: dict[int, int] | None, map_path: str | None) -> tuple[int, dict[int, int]]:
+    """Version and map for slots that hold so many bytes; stored where map_path is given."""
+    version, old = 0, slot_map
+    if map_path is not None and has_map(spark, map_path):
+        version, stored = load_map(spark, map_path)
+        old = stored if slot_map is None else slot_map
+    edited = spread(held, shards) if old is None else rebalanced(old, held, shards, SLACK)
+    if map_path is not None:
+        save_map(spark, map_path, version + 1, edited)
+    return version + 1, edited
+
+
 def with_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """docs with columns shard and vslot (which replace columns of these names); texts are never shuffled.
 
-    Slots come from a hash of the id and the text, so equal rows share a slot. With map_path, the map is written as version 1.
+    Slots come from a hash of the id and the text. A group of rows that agree in both and are more than a mean slot has -
+    fewer than `slots` groups are so large - is dealt to all slots by a number of each row. map_path: see shard().
     """
+    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.drop("shard", "vslot").withColumn("vslot", vslot(slots, F.col(id_col), text))
-    size = F.octet_length(text).cast("long") + 1
-    held = {r.vslot: r.bytes for r in rows.groupBy("vslot").agg(F.sum(size).alias("bytes")).collect()}
-    made = spread(held, shards)
-    if map_path is not None:
-        save_map(docs.sparkSession, map_path, 1, made)
-    placed = docs.sparkSession.createDataFrame(sorted(made.items()), "vslot int, shard int")
-    return rows.join(F.broadcast(placed), "vslot").select(*[c for c in docs.columns if c not in ("shard", "vslot")], "shard", "vslot")
+    rows = docs.drop("shard", "vslot").withColumn("_key", F.xxhash64(F.col(id_col), text))
+    none = F.lit(None).cast("long")
+    sizes = rows.groupBy("_key").agg(F.count("*").alias("n"), F.sum(F.octet_length(text).cast("long") + 1).alias("bytes"))
+    sizes = checkpointed(sizes.withColumn("vslot", vslot(slots, "_key", none)))
+    mean = (sizes.agg(F.sum("n")).first()[0] or 0) / slots
+    is_large = F.col("n") > max(mean, 1)
+    large = {r["_key"]: r["bytes"] for r in sizes.filter(is_large).select("_key", "bytes").collect()}
+    held = {r.vslot: r.bytes for r in sizes.filter(~is_large).groupBy("vslot").agg(F.sum("bytes").alias("bytes")).collect()}
+    held = {s: held.get(s, 0) + sum(large.values()) // slots for s in range(slots)}
+    made = _edited(spark, held, shards, None, map_path)[1]
+    salt = none
+    if large:
+        rows = rows.join(F.broadcast(spark.createDataFrame([(k,) for k in large], "_large long")), F.col("_key") == F.col("_large"), "left")
+        salt = F.when(F.col("_large").isNotNull(), F.monotonically_increasing_id())
+    placed = spark.createDataFrame(sorted(made.items()), "vslot int, shard int")
+    rows = rows.withColumn("vslot", vslot(slots, "_key", salt)).join(F.broadcast(placed), "vslot")
+    return rows.select(*[f"`{c}`" for c in docs.columns if c not in ("shard", "vslot")], "shard", "vslot")

@@ -13,9 +13,10 @@ lone one. After LEVELS rounds one more names, for each window that is left, its
 symbol of the highest level. Windows whose block is not alone are sent, words and all, to the block's task, and
 compared there word for word. Hashes only leave windows out that can't be repeats; none decides that two are equal.
 
-Texts are dealt once, by the hash of (id, text); all steps read that one exchange. Names travel as sorted numbers in
-compressed blobs, in buckets that a task works through one at a time. A name that several documents of a flush hold is
-one entry of that flush without owners, so very common names gather no owners anywhere.
+Texts are dealt once, by a hash of (id, text); all steps read that one exchange. Names travel as sorted numbers in
+compressed blobs, in buckets that a task works through one at a time, with half of that hash, the tag, as address: texts
+that share a tag are told of each other's lone names, which they don't hold. A name that several texts of a flush hold
+is one entry of that flush without owners, so very common names gather no owners anywhere.
 """
 
 from __future__ import annotations
@@ -32,16 +33,16 @@ from pyspark.sql import functions as F
 from .common import M1, SAME, SPACES, U64, Words, buckets, flushes, mix, pack, powers, rows_of, runs, shuffle_parts, sized, trim, unpack, utf8
 
 LEVELS = 2
-#: Buckets for each partition; a task holds one at a time.
-BUCKETS = 4
+#: Buckets for each partition; a task holds one at a time. Numbers that it gathers before it sends them on.
+BUCKETS, HELD = 2, 1_000_000
 #: Bits of a name that travel; fewer only make more names look shared.
 NAME_BITS = 48
 NONE = U64(0xFFFFFFFFFFFFFFFF)
 POS = U64((1 << 24) - 1)
-WIRE = "part int, bucket int, tok binary, own binary, rk binary, id binary, many binary, words binary"
-WIRE_ARROW = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("tok", "own", "rk", "id", "many", "words"))])
-BACK = "part int, rk binary, own binary, found binary"
-BACK_ARROW = pa.schema([("part", pa.int32()), ("rk", pa.binary()), ("own", pa.binary()), ("found", pa.binary())])
+WIRE = "part int, bucket int, tok binary, own binary, tag binary, many binary"
+WIRE_ARROW = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("tok", "own", "tag", "many"))])
+BACK = "part int, tag binary, rk binary, own binary, found binary"
+BACK_ARROW = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("tag", "rk", "own", "found"))])
 
 
 # --- symbols -------------------------------------------------------------------------------------------------------
@@ -49,21 +50,20 @@ BACK_ARROW = pa.schema([("part", pa.int32()), ("rk", pa.binary()), ("own", pa.bi
 
 @dataclass
 class Symbols:
-    """The symbols of some texts in order: name, text, first word, words lo to hi that decide it, whether this level
-    made it, and whether it is known to be in one document only."""
+    """The symbols of some texts in order: name, text, words lo to hi that decide it (None where no one asks), the
+    symbols that this level made, and whether each is known to be in one document only."""
 
     name: np.ndarray
     text: np.ndarray
-    start: np.ndarray
-    lo: np.ndarray
-    hi: np.ndarray
+    lo: np.ndarray | None
+    hi: np.ndarray | None
     made: np.ndarray
     alone: np.ndarray
 
     @classmethod
-    def of(cls, words: Words) -> Symbols:
+    def of(cls, words: Words, placed: bool) -> Symbols:
         n, at = len(words), np.arange(len(words))
-        return cls(words.hash, words.text, at, at, at + 1, np.zeros(n, bool), np.zeros(n, bool))
+        return cls(words.hash, words.text, at if placed else None, at + 1 if placed else None, np.zeros(0, np.int64), np.zeros(n, bool))
 
     def __len__(self) -> int:
         return len(self.name)
@@ -72,9 +72,9 @@ class Symbols:
         """lo of the symbol before and hi of the one behind; beyond any window at a text's ends."""
         n = len(self)
         lo, hi = np.full(n, -1), np.full(n, 1 << 62)
-        same = self.text[1:] == self.text[:-1]
-        lo[1:] = np.where(same, self.lo[:-1], -1)
-        hi[:-1] = np.where(same, self.hi[1:], 1 << 62)
+        lo[1:], hi[:-1] = self.lo[:-1], self.hi[1:]
+        ends = np.flatnonzero(self.text[1:] != self.text[:-1])
+        lo[ends + 1], hi[ends] = -1, 1 << 62
         return lo, hi
 
 
@@ -84,46 +84,45 @@ def name_runs(s: Symbols, salt: int) -> Symbols:
         return s
     heads = np.flatnonzero(np.concatenate([[True], (s.name[1:] != s.name[:-1]) | (s.text[1:] != s.text[:-1])]))
     many = np.diff(np.append(heads, len(s)))
-    tails = heads + many - 1
-    lo, hi = s.neighbours()
-    name = s.name[heads]
-    long_ = many > 1
-    name = np.where(long_, mix((name ^ U64(salt)) * M1 + many.astype(U64)), name)
-    return Symbols(name, s.text[heads], s.start[heads], lo[heads], hi[tails], long_, s.alone[heads])
+    lo, hi = s.neighbours() if s.lo is not None else (None, None)
+    name, made = s.name[heads], np.flatnonzero(many > 1)
+    name[made] = mix((name[made] ^ U64(salt)) * M1 + many[made].astype(U64))
+    return Symbols(name, s.text[heads], None if lo is None else lo[heads], None if hi is None else hi[heads + many - 1], made, s.alone[heads])
 
 
-def name_pairs(s: Symbols, salt: int) -> Symbols:
+def name_pairs(s: Symbols, salt: int, bit: int) -> Symbols:
     """Each left symbol followed by a right one as one symbol. A lone left one looks behind it, a right one before it."""
     n = len(s)
     if not n:
         return s
-    right = mix(s.name + U64(salt)) >> U64(63) == 1
+    right = (s.name >> U64(bit)) & U64(1) == 1
     first = np.zeros(n, bool)
     first[:-1] = ~right[:-1] & right[1:] & (s.text[:-1] == s.text[1:])
-    second = np.zeros(n, bool)
-    second[1:] = first[:-1]
     at = np.flatnonzero(first)
+    keep = np.ones(n, bool)
+    keep[at + 1] = False
+    name, alone = s.name.copy(), s.alone.copy()
+    name[at] = mix((s.name[at] ^ U64(salt)) * M1 + s.name[at + 1])
+    alone[at] |= s.alone[at + 1]
+    first[s.made] = True  # runs that this level made, unless they went into a pair
+    made = np.flatnonzero(first[keep])
+    if s.lo is None:
+        return Symbols(name[keep], s.text[keep], None, None, made, alone[keep])
     before, behind = s.neighbours()
     lo, hi = np.where(right, before, s.lo), np.where(right, s.hi, behind)
-    name, made, alone = s.name.copy(), s.made.copy(), s.alone.copy()
-    name[at] = mix((s.name[at] ^ U64(salt)) * M1 + s.name[at + 1])
     lo[at], hi[at] = s.lo[at], s.hi[at + 1]
-    made[at] = True
-    alone[at] |= s.alone[at + 1]
-    keep = ~second
-    return Symbols(name[keep], s.text[keep], s.start[keep], lo[keep], hi[keep], made[keep], alone[keep])
+    return Symbols(name[keep], s.text[keep], lo[keep], hi[keep], made, alone[keep])
 
 
 def cut_name(name: np.ndarray, bits: int) -> np.ndarray:
     return name >> U64(64 - bits)
 
 
-def levels_of(words: Words, upto: int, lone: np.ndarray, bits: int) -> list[Symbols]:
+def levels_of(words: Words, upto: int, lone: np.ndarray, bits: int, placed: bool = True) -> list[Symbols]:
     """The symbols of each level. lone: sorted keys (name, text) of names that are known to be alone."""
-    out, s = [], Symbols.of(words)
+    out, s = [], Symbols.of(words, placed)
     for level in range(upto):
-        s = Symbols(s.name, s.text, s.start, s.lo, s.hi, np.zeros(len(s), bool), s.alone)
-        s = name_pairs(name_runs(s, 0x51ED27 + 2 * level), 0xA24BAE + 2 * level)
+        s = name_pairs(name_runs(s, 0x51ED27 + 2 * level), 0xA24BAE + 2 * level, 3 + level)
         if len(lone):
             s.alone[s.made] |= _among(_keys(cut_name(s.name[s.made], bits), s.text[s.made]), lone)
         out.append(s)
@@ -155,49 +154,44 @@ def _slide(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-class Windows:
-    """The windows of `width` words that no lone symbol rules out: first word, and the symbol that is each one's anchor.
-
-    An anchor is (lo, hi), the words that decided the window's least symbol, of the highest level that has one; where
-    none has, as within runs, the window itself.
-    """
-
-    def __init__(self, words: Words, levels: list[Symbols], width: int):
-        many = max(0, len(words) - width + 1)
-        good = words.text[:many] == words.text[width - 1 :] if many else np.zeros(0, bool)
-        for s in levels:  # windows that hold a lone symbol
-            bad = np.flatnonzero(s.alone & (s.lo >= 0) & (s.hi - s.lo <= width))
-            if many and len(bad):
-                from_, to = np.maximum(s.hi[bad] - width, 0), np.minimum(s.lo[bad], many - 1)
-                fits = from_ <= to
-                step = np.bincount(from_[fits], minlength=many + 1) - np.bincount(to[fits] + 1, minlength=many + 1)
-                good &= np.cumsum(step)[:many] == 0
-        self.at = np.flatnonzero(good)
-        self.lo, self.hi = self.at.copy(), self.at + width
-        open_ = np.ones(len(self.at), bool)
-        for s in reversed(levels):
-            if not open_.any():
-                break
-            best = np.full(many, NONE, U64)
-            inside = np.flatnonzero((s.lo >= 0) & (s.hi - s.lo <= width))  # some window holds all that decided them
-            value = (s.name[inside] & ~POS) | (inside.astype(U64) & POS)
-            spare = width - (s.hi - s.lo)[inside]
-            for k in range(width):  # symbols that k + 1 windows hold, the last of them the one that begins with lo
-                mine = inside[spare == k]
-                if len(mine):
-                    held = np.full(many + k, NONE, U64)
-                    np.minimum.at(held, s.lo[mine], value[spare == k])
-                    best = np.minimum(best, _slide(held, k + 1)[:many])
-            mine = open_ & (best[self.at] != NONE)
-            which = self._places(best[self.at[mine]], s, self.at[mine])
-            self.lo[mine], self.hi[mine] = s.lo[which], s.hi[which]
-            open_ &= ~mine
-
-    @staticmethod
-    def _places(best: np.ndarray, s: Symbols, at: np.ndarray) -> np.ndarray:
-        """Numbers of symbols from their low bits: those near the symbol at which each window starts."""
-        near = np.searchsorted(s.start, at)
-        return near + ((best & POS).astype(np.int64) - near) % (1 << 24)
+def alive(words: Words, levels: list[Symbols], width: int) -> np.ndarray:
+    """First words of the windows within a text that hold no lone symbol."""
+    many = max(0, len(words) - width + 1)
+    good = words.text[:many] == words.text[width - 1 :] if many else np.zeros(0, bool)
+    for s in levels:
+        bad = np.flatnonzero(s.alone)
+        if many and len(bad):
+            bad = bad[(s.lo[bad] >= 0) & (s.hi[bad] - s.lo[bad] <= width)]
+            from_, to = np.maximum(s.hi[bad] - width, 0), np.minimum(s.lo[bad], many - 1)
+            fits = from_ <= to
+            step = np.bincount(from_[fits], minlength=many + 1) - np.bincount(to[fits] + 1, minlength=many + 1)
+            good &= np.cumsum(step)[:many] == 0
+    return np.flatnonzero(good)
+
+
+def anchors(words: Words, s: Symbols, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the windows that begin at `at`: the words (lo, hi) that decide each one's anchor, its least symbol that it holds
+    with all that decides it; the window itself where there is none, as within runs."""
+    many = max(0, len(words) - width + 1)
+    best = np.full(many, NONE, U64)
+    inside = np.flatnonzero((s.lo >= 0) & (s.hi - s.lo <= width))
+    value = (s.name[inside] & ~POS) | (np.arange(len(inside)).astype(U64) & POS)
+    lo, hi = s.lo[inside], s.hi[inside]
+    spare = width - (hi - lo)
+    for k in range(width):  # symbols that k + 1 windows hold, the last of them the one that begins with lo
+        mine = np.flatnonzero(spare == k)
+        if len(mine):
+            held = np.full(many + k, NONE, U64)
+            np.minimum.at(held, lo[mine], value[mine])
+            best = np.minimum(best, _slide(held, k + 1)[:many])
+    best = best[at]
+    own = best == NONE
+    near = np.searchsorted(lo, at)  # the low bits count on from the first symbol that can be in the window
+    which = near + ((best & POS).astype(np.int64) - near) % (1 << 24)
+    which[own] = 0
+    if not len(inside):
+        return at, at + width
+    return np.where(own, at, lo[which]), np.where(own, at + width, hi[which])
 
 
 def block_names(words: Words, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -218,36 +212,45 @@ def _place(token: np.ndarray, parts: int, bits: int) -> np.ndarray:
 
 
 def _columns(batch: pa.RecordBatch):
-    ids = batch.column(1)
-    return batch.column(0).to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)
+    """tag, rk, id, and whether the id is known."""
+    ids = batch.column(2)
+    return batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)
+
+
+TEXT = 3  # column of the text; those behind it hold names that are alone
 
 
-def _known(batch: pa.RecordBatch, columns: range) -> np.ndarray:
-    """Sorted (name, text) keys from columns of blobs."""
+def _known(batch: pa.RecordBatch) -> np.ndarray:
+    """Sorted (name, text) keys from the columns behind the text."""
     out = [np.zeros(0, U64)]
-    for c in columns:
+    for c in range(TEXT + 1, batch.num_columns):
         for i, x in enumerate(batch.column(c)):
             if x.is_valid:
                 out.append(_keys(unpack(x.as_py(), U64, True), np.full(1, i)))
     return np.sort(np.concatenate(out))
 
 
-def _sent(token: np.ndarray, owner: np.ndarray, rk: np.ndarray, ids: np.ndarray, parts: int, bits: int) -> list[dict]:
-    """Rows that take the distinct names of a flush to their tasks: with an owner, or, held by several ids, without."""
-    order = np.lexsort((ids[owner], token))
+def _cuts(place: np.ndarray):
+    """(a, b) of the runs of a sorted array."""
+    cut = np.append(runs(place), len(place)).tolist()
+    return zip(cut[:-1], cut[1:], strict=True)
+
+
+def _sent(token: np.ndarray, owner: np.ndarray, tag: np.ndarray, rk: np.ndarray, parts: int, bits: int) -> list[dict]:
+    """Rows that take the distinct names of a flush to their tasks: with their owner's tag, or, held by several texts, without."""
+    order = np.lexsort((rk[owner], token))
     token, owner = token[order], owner[order]
     heads = runs(token)
     ends = np.append(heads[1:], len(token)) - 1
-    many = ids[owner[heads]] < ids[owner[ends]]
+    many = rk[owner[heads]] != rk[owner[ends]]
     token, owner = token[heads], owner[heads]
     place = _place(token, parts, bits)
-    cut = np.append(runs(place), len(place))
     out = []
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+    for a, b in _cuts(place):
         m = many[a:b]
         who, own = np.unique(owner[a:b][~m], return_inverse=True)
         p = int(place[a])
-        out.append({"part": p // BUCKETS, "bucket": p % BUCKETS, "tok": pack(token[a:b][~m], True), "own": pack(own.astype(np.uint32)), "rk": pack(rk[who]), "id": pack(ids[who]), "many": pack(token[a:b][m], True), "words": None})
+        out.append({"part": p // BUCKETS, "bucket": p % BUCKETS, "tok": pack(token[a:b][~m], True), "own": pack(own.astype(np.uint32)), "tag": pack(tag[who]), "many": pack(token[a:b][m], True)})
     return out
 
 
@@ -256,218 +259,243 @@ def _named(width: int, level: int, parts: int, bits: int):
 
     def run(batches):
         for batch in flushes(batches, "text"):
-            rk, ids, known = _columns(batch)
-            words = Words(*utf8(batch.column(2)), SAME, SPACES)
-            levels = levels_of(words, min(level, LEVELS), _known(batch, range(3, batch.num_columns)), bits)
+            tag, rk, _, known = _columns(batch)
+            words = Words(*utf8(batch.column(TEXT)), SAME, SPACES)
+            levels = levels_of(words, min(level, LEVELS), _known(batch), bits, level > LEVELS)
             if level <= LEVELS:
                 s = levels[-1]
-                new = s.made & ~s.alone & known[s.text]
+                new = s.made[~s.alone[s.made] & known[s.text[s.made]]]
                 token, owner = cut_name(s.name[new], bits), s.text[new]
             else:
-                w = Windows(words, levels, width)
-                token, owner = cut_name(block_names(words, w.lo, w.hi), bits), words.text[w.at]
-                new = known[owner]
-                token, owner = token[new], owner[new]
+                at = alive(words, levels, width)
+                at = at[known[words.text[at]]]
+                lo, hi = anchors(words, levels[-1], at, width)
+                first = np.flatnonzero(np.diff(lo, prepend=-1) | np.diff(hi, prepend=-1))
+                token, owner = cut_name(block_names(words, lo[first], hi[first]), bits), words.text[at[first]]
             if len(token):
                 key = np.unique(_keys(token, owner))
-                yield from sized(_sent(key >> U64(16), (key & U64(0xFFFF)).astype(np.int64), rk, ids, parts, bits), WIRE_ARROW)
+                yield from sized(_sent(key >> U64(16), (key & U64(0xFFFF)).astype(np.int64), tag, rk, parts, bits), WIRE_ARROW)
 
     return run
 
 
-def _to_owner(rk: np.ndarray, owner: np.ndarray, value: np.ndarray, parts: int) -> list[dict]:
-    """Rows that take numbers to the partition of their owner."""
-    part = (rk.view(U64) % U64(parts)).astype(np.int64)[owner]
+def _to_owner(tag: np.ndarray, owner: np.ndarray, value: np.ndarray, parts: int, rk: np.ndarray | None = None) -> list[dict]:
+    """Rows that take numbers to the partition of their owner, which its tag gives, or its tag and rk."""
+    part = (tag.astype(np.int64) % parts)[owner]
     order = np.lexsort((value, part))
     part, owner, value = part[order], owner[order], value[order].astype(U64)
-    cut = np.append(runs(part), len(part))
     out = []
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+    for a, b in _cuts(part):
         who, own = np.unique(owner[a:b], return_inverse=True)
-        out.append({"part": int(part[a]), "rk": pack(rk[who]), "own": pack(own.astype(np.uint32)), "found": pack(value[a:b], True)})
+        out.append({"part": int(part[a]), "tag": pack(tag[who]), "rk": None if rk is None else pack(rk[who]), "own": pack(own.astype(np.uint32)), "found": pack(value[a:b], True)})
     return out
 
 
 def _lone(parts: int):
-    """Names that one id holds, to the owner that sent them."""
+    """Names that one text sent once, to that text. Two texts of one tag are two entries, so their names aren't alone."""
+
+    def alone(rows: list[dict]):
+        tokens, owners, tags, many, at = [], [], [], [], 0
+        for r in rows:
+            tag = unpack(r["tag"], np.int32)
+            tokens.append(unpack(r["tok"], U64, True))
+            owners.append(unpack(r["own"], np.uint32).astype(np.int64) + at)
+            tags.append(tag)
+            many.append(unpack(r["many"], U64, True))
+            at += len(tag)
+        token, owner, tag = map(np.concatenate, (tokens, owners, tags))
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
+        heads = runs(token)
+        one = np.diff(np.append(heads, len(token))) == 1
+        one &= ~np.isin(token[heads], np.concatenate(many))
+        return tag, owner[heads[one]], token[heads[one]]
 
     def run(batches):
+        held: list[tuple] = []
         for rows in buckets(batches):
-            tokens, owners, rks, idss, many, at = [], [], [], [], [], 0
-            for r in rows:
-                rk = unpack(r["rk"], np.int64)
-                tokens.append(unpack(r["tok"], U64, True))
-                owners.append(unpack(r["own"], np.uint32).astype(np.int64) + at)
-                rks.append(rk)
-                idss.append(unpack(r["id"], np.int64))
-                many.append(unpack(r["many"], U64, True))
-                at += len(rk)
-            token, owner, rk, ids = map(np.concatenate, (tokens, owners, rks, idss))
-            if not len(token):
-                continue
-            order = np.argsort(token, kind="stable")
-            token, owner = token[order], owner[order]
-            heads = runs(token)
-            mine = ids[owner]
-            alone = np.minimum.reduceat(mine, heads) == np.maximum.reduceat(mine, heads)
-            alone &= ~np.isin(token[heads], np.concatenate(many))
-            alone = np.repeat(alone, np.diff(np.append(heads, len(token))))
-            if alone.any():
-                yield from sized(_to_owner(rk, owner[alone], token[alone], parts), BACK_ARROW)
+            held.append(alone(rows))
+            if sum(len(x[2]) for x in held) >= HELD:
+                yield from sized(_told(held, parts), BACK_ARROW)
+                held = []
+        if held:
+            yield from sized(_told(held, parts), BACK_ARROW)
         trim()
 
     return run
 
 
+def _told(held: list[tuple], parts: int) -> list[dict]:
+    """_to_owner() of several buckets' (tag, owner, value[, rk]) at once."""
+    before = np.cumsum([0, *(len(x[0]) for x in held)])
+    owner = np.concatenate([x[1] + b for x, b in zip(held, before[:-1], strict=True)])
+    rk = np.concatenate([x[3] for x in held]) if len(held[0]) > 3 else None
+    return _to_owner(np.concatenate([x[0] for x in held]), owner, np.concatenate([x[2] for x in held]), parts, rk) if len(owner) else []
+
+
 def _gather(batches):
-    """A row of sorted numbers for each owner."""
-    schema = pa.schema([("rk", pa.int64()), ("found", pa.binary())])
-    owners, rks, values, at = [], [], [], 0
+    """A row for each tag: sorted numbers; of places, those of each rk."""
+    schema = pa.schema([("tag", pa.int32()), ("found", pa.binary()), ("rks", pa.list_(pa.int64())), ("places", pa.list_(pa.binary()))])
+    owners, tags, rks, values, at = [], [], [], [], 0
     for batch in batches:
         for r in batch.to_pylist():
-            rk = unpack(r["rk"], np.int64)
-            rks.append(rk)
+            tag = unpack(r["tag"], np.int32)
+            tags.append(tag)
+            rks.append(np.zeros(len(tag), np.int64) if r["rk"] is None else unpack(r["rk"], np.int64))
             owners.append(unpack(r["own"], np.uint32).astype(np.int64) + at)
             values.append(unpack(r["found"], U64, True))
-            at += len(rk)
+            at += len(tag)
+            placed = r["rk"] is not None
     trim()
-    if not rks:
+    if not tags:
         return
-    rk, number = np.unique(np.concatenate(rks), return_inverse=True)
-    owner, value = number[np.concatenate(owners)], np.concatenate(values)
+    tag, rk, owner, value = map(np.concatenate, (tags, rks, owners, values))
+    both = np.empty(len(tag), [("tag", np.int32), ("rk", np.int64)])
+    both["tag"], both["rk"] = tag, rk
+    both, number = np.unique(both, return_inverse=True)
+    owner = number[owner]
     order = np.lexsort((value, owner))
     value, owner = value[order], owner[order]
-    at = np.append(runs(owner), len(owner))
-    yield from sized([{"rk": int(rk[owner[a]]), "found": pack(value[a:b], True)} for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], schema)
+    rows: list[dict] = []
+    for a, b in _cuts(owner):
+        t, r = both[owner[a]].item()
+        blob = pack(value[a:b], True)
+        if not placed:
+            rows.append({"tag": t, "found": blob, "rks": None, "places": None})
+        elif rows and rows[-1]["tag"] == t:
+            rows[-1]["rks"].append(r)
+            rows[-1]["places"].append(blob)
+        else:
+            rows.append({"tag": t, "found": None, "rks": [r], "places": [blob]})
+    yield from sized(rows, schema)
 
 
 # --- comparison ----------------------------------------------------------------------------------------------------
 
 
 def _passages(width: int, parts: int, bits: int):
-    """Windows whose block is not alone, with their words: those of one anchor that follow each other are one passage.
+    """Windows whose block is not alone, with their words: those that follow each other with one anchor of the first
+    level, which is in more windows than one of the highest, are one passage.
 
     A passage that several texts of a flush hold goes on from the least id only; the others' windows are repeats.
     """
 
     def run(batches):
         for batch in flushes(batches, "text"):
-            rk, ids, known = _columns(batch)
-            data, off = utf8(batch.column(2))
+            tag, rk, ids, known = _columns(batch)
+            data, off = utf8(batch.column(TEXT))
             words = Words(data, off, SAME, SPACES)
-            lone = _known(batch, range(3, batch.num_columns))
-            w = Windows(words, levels_of(words, LEVELS, lone, bits), width)
-            owner = words.text[w.at]
-            name = cut_name(block_names(words, w.lo, w.hi), bits)
-            good = known[owner]
-            if len(lone):
-                good &= ~_among(_keys(name, owner), lone)
-            at, lo, name = w.at[good], w.lo[good], name[good]
+            lone = _known(batch)
+            levels = levels_of(words, LEVELS, lone, bits)
+            at = alive(words, levels, width)
+            at = at[known[words.text[at]]]
+            if len(lone) and len(at):
+                lo, hi = anchors(words, levels[-1], at, width)
+                at = at[~_among(_keys(cut_name(block_names(words, lo, hi), bits), words.text[at]), lone)]
             if not len(at):
                 continue
-            first = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (at[1:] != at[:-1] + 1) | (name[1:] != name[:-1])]))
+            lo, hi = anchors(words, levels[0], at, width)
+            first = np.flatnonzero(np.diff(lo, prepend=-1) | np.diff(hi, prepend=-1) | (np.diff(at, prepend=-1) != 1))
             n_windows = np.diff(np.append(first, len(at)))
-            at, name = at[first], name[first]
+            at, place = at[first], _place(cut_name(block_names(words, lo[first], hi[first]), bits), parts, bits)
             owner = words.text[at]
             plain = b" ".join(b" ".join(data[a:b].tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)).split())
             size = words.end - words.start
             start = np.concatenate([[0], np.cumsum(size + 1)])
             last = at + n_windows + width - 2
-            held: dict[bytes, list[int]] = {}
-            for i, (a, b) in enumerate(zip(start[at].tolist(), (start[last] + size[last]).tolist(), strict=True)):
-                held.setdefault(plain[a:b], []).append(i)
-            on, gone = [], []
-            for same in held.values():
-                if len(same) == 1:
-                    on.append(same[0])
-                    continue
-                mine = ids[owner[same]]
-                least = mine.min()
-                seen = set()
-                for i, d in zip(same, mine, strict=True):
-                    if d > least:
-                        gone.append(i)
-                    elif (key := (rk[owner[i]], at[i])) not in seen:
-                        seen.add(key)
-                        on.append(i)
-            texts = {k: v for v, s in held.items() for k in s}
+            texts = [plain[a:b] for a, b in zip(start[at].tolist(), (start[last] + size[last]).tolist(), strict=True)]
+            number: dict[bytes, int] = {}
+            same = np.array([number.setdefault(t, len(number)) for t in texts])
+            least = np.full(len(number), np.iinfo(np.int64).max)
+            np.minimum.at(least, same, ids[owner])
+            later = ids[owner] > least[same]
             pos = at - words.first[owner]
-            if gone:
-                yield from sized(_spread(rk, owner[gone], pos[gone], n_windows[gone], parts), _CUT_ARROW)
-            on = np.array(on)
-            place = _place(name[on], parts, bits)
-            order = np.argsort(place, kind="stable")
-            on, place = on[order], place[order]
-            cut = np.append(runs(place), len(place))
+            if later.any():
+                yield from sized(_spread(tag, rk, owner[later], pos[later], n_windows[later], parts), _CUT_ARROW)
+            # identical rows of a flush send a passage once
+            on = np.flatnonzero(~later)
+            on = on[np.sort(np.unique(np.rec.fromarrays([rk[owner[on]], pos[on]]), return_index=True)[1])]
+            on = on[np.argsort(place[on], kind="stable")]
             rows = []
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                who, own = np.unique(owner[on[a:b]], return_inverse=True)
-                joined = b"\n".join(texts[i] for i in on[a:b].tolist())
-                p = int(place[a])
+            for a, b in _cuts(place[on]):
+                mine = on[a:b]
+                who, own = np.unique(owner[mine], return_inverse=True)
+                joined = b"\n".join([texts[i] for i in mine.tolist()])
+                p = int(place[mine[0]])
                 rows.append(
-                    {"part": p // BUCKETS, "bucket": p % BUCKETS, "own": pack(own.astype(np.uint32)), "rk": pack(rk[who]), "id": pack(ids[who]), "pos": pack(pos[on[a:b]].astype(np.uint32)), "words": zstandard.ZstdCompressor(level=3, write_content_size=True).compress(joined), "gone": None}
+                    {"part": p // BUCKETS, "bucket": p % BUCKETS, "own": pack(own.astype(np.uint32)), "tag": pack(tag[who]), "rk": pack(rk[who]), "id": pack(ids[who]), "pos": pack(pos[mine].astype(np.uint32)), "words": zstandard.ZstdCompressor(level=3, write_content_size=True).compress(joined), "gone": None}
                 )
             yield from sized(rows, _CUT_ARROW)
 
     return run
 
 
-_CUT = "part int, bucket int, own binary, rk binary, id binary, pos binary, words binary, gone binary"
-_CUT_ARROW = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("own", "rk", "id", "pos", "words", "gone"))])
+_CUT = "part int, bucket int, own binary, tag binary, rk binary, id binary, pos binary, words binary, gone binary"
+_CUT_ARROW = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("own", "tag", "rk", "id", "pos", "words", "gone"))])
 
 
-def _spread(rk, owner, pos, n_windows, parts: int) -> list[dict]:
+def _spread(tag, rk, owner, pos, n_windows, parts: int) -> list[dict]:
     """Rows that take the places of windows to the partition of their owner; they pass the comparison by."""
     owner = np.repeat(owner, n_windows)
     each = np.repeat(pos - np.concatenate([[0], np.cumsum(n_windows)[:-1]]), n_windows) + np.arange(int(n_windows.sum()))
-    return [{"part": r["part"], "bucket": BUCKETS, "own": r["own"], "rk": r["rk"], "id": None, "pos": None, "words": None, "gone": r["found"]} for r in _to_owner(rk, owner, each, parts)]
+    return [{"part": r["part"], "bucket": BUCKETS, "own": r["own"], "tag": r["tag"], "rk": r["rk"], "id": None, "pos": None, "words": None, "gone": r["found"]} for r in _to_owner(tag, owner, each, parts, rk)]
 
 
 def _compare(width: int, parts: int):
     """Places of windows whose words an earlier id holds too, to their owners. Windows are compared as texts."""
 
-    def run(batches):
-        def plain():
-            for batch in batches:
-                gone = batch.column(7).is_valid()
-                if gone.true_count:
-                    ready = batch.filter(gone)
-                    back.append(pa.RecordBatch.from_arrays([ready.column(0), ready.column(3), ready.column(2), ready.column(7)], schema=BACK_ARROW))
-                yield batch.filter(pa.compute.invert(gone))
-
-        back: list[pa.RecordBatch] = []
-        for rows in buckets(plain()):
-            yield from back
-            back.clear()
-            held: dict[bytes, list[tuple[int, int, int]]] = {}
-            rks: list[np.ndarray] = []
-            at = 0
-            for r in rows:
-                rk, ids = unpack(r["rk"], np.int64), unpack(r["id"], np.int64)
-                own = unpack(r["own"], np.uint32).astype(np.int64)
-                texts = zstandard.ZstdDecompressor().decompress(r["words"]).split(b"\n")
-                for t, d, o, p in zip(texts, ids[own].tolist(), (own + at).tolist(), unpack(r["pos"], np.uint32).tolist(), strict=True):
-                    held.setdefault(t, []).append((d, o, p))
-                rks.append(rk)
-                at += len(rk)
-            least: dict[bytes, int] = {}
-            windows = {}
-            for t, found in held.items():
-                first = min(found)[0]
-                w = t.split(b" ")
-                windows[t] = mine = [b" ".join(w[i : i + width]) for i in range(len(w) - width + 1)]
-                for x in mine:
-                    if (old := least.get(x)) is None or first < old:
-                        least[x] = first
-            owner, pos = [], []
-            for t, found in held.items():
-                before = [least[x] for x in windows[t]]
+    def plain(batches, back: list):
+        for batch in batches:
+            gone = batch.column("gone").is_valid()
+            if gone.true_count:
+                ready = batch.filter(gone)
+                back.append(pa.RecordBatch.from_arrays([ready.column(c) for c in ("part", "tag", "rk", "own", "gone")], schema=BACK_ARROW))
+            yield batch.filter(pa.compute.invert(gone))
+
+    def compared(rows: list[dict]):
+        held: dict[bytes, list[tuple[int, int, int]]] = {}
+        tags, rks, at = [], [], 0
+        for r in rows:
+            rk, ids = unpack(r["rk"], np.int64), unpack(r["id"], np.int64)
+            own = unpack(r["own"], np.uint32).astype(np.int64)
+            texts = zstandard.ZstdDecompressor().decompress(r["words"]).split(b"\n")
+            for t, *of in zip(texts, ids[own].tolist(), (own + at).tolist(), unpack(r["pos"], np.uint32).tolist(), strict=True):
+                held.setdefault(t, []).append(of)
+            tags.append(unpack(r["tag"], np.int32))
+            rks.append(rk)
+            at += len(rk)
+        least: dict[bytes, int] = {}
+        windows = {}
+        for t, found in held.items():
+            first = min(found)[0]
+            w = t.split(b" ")
+            windows[t] = mine = [b" ".join(w[i : i + width]) for i in range(len(w) - width + 1)]
+            for x in mine:
+                if (old := least.get(x)) is None or first < old:
+                    least[x] = first
+        owner, pos = [], []
+        for t, found in held.items():
+            before = [least[x] for x in windows[t]]
+            most = max(found)[0]
+            if min(before) < most:
                 for d, o, p in found:
                     later = [p + i for i, x in enumerate(before) if x < d]
                     owner += [o] * len(later)
                     pos += later
-            if owner:
-                yield from sized(_to_owner(np.concatenate(rks), np.array(owner), np.array(pos), parts), BACK_ARROW)
+        return np.concatenate(tags), np.array(owner, np.int64), np.array(pos, np.int64), np.concatenate(rks)
+
+    def run(batches):
+        back: list[pa.RecordBatch] = []
+        held: list[tuple] = []
+        for rows in buckets(plain(batches, back)):
+            held.append(compared(rows))
+            if sum(len(x[2]) for x in held) >= HELD:
+                yield from sized(_told(held, parts), BACK_ARROW)
+                held = []
+            yield from back
+            back.clear()
+        if held:
+            yield from sized(_told(held, parts), BACK_ARROW)
         yield from back
         trim()
 
@@ -475,23 +503,24 @@ def _compare(width: int, parts: int):
 
 
 def _cut(width: int, with_text: bool):
-    schema = pa.schema([("rk", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *([("kept_text", pa.string())] if with_text else [])])
+    schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *([("kept_text", pa.string())] if with_text else [])])
 
     def run(batches):
         for batch in batches:
             rows = []
             data, off = utf8(batch.column(2))
-            for i, found in enumerate(batch.column(3)):
+            ids = batch.column(1).to_pylist()
+            for i, (rk, rks) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 words = data[off[i] : off[i + 1]].tobytes().split()
                 n = len(words)
-                if found.is_valid:
+                if rks and rk in rks:
                     step = np.zeros(n + 1, np.int64)
-                    at = np.unique(unpack(found.as_py(), U64, True).astype(np.int64))
+                    at = np.unique(unpack(batch.column(4)[i][rks.index(rk)].as_py(), U64, True).astype(np.int64))
                     np.add.at(step, at, 1)
                     np.add.at(step, at + width, -1)
                     words = [words[j] for j in np.flatnonzero(np.cumsum(step[:-1]) == 0).tolist()]
                 kept = b" ".join(words)
-                row = {"rk": batch.column(0)[i].as_py(), "n_words": n, "n_removed": n - len(words), "kept_sha256": hashlib.sha256(kept).hexdigest()}
+                row = {"id": ids[i], "n_words": n, "n_removed": n - len(words), "kept_sha256": hashlib.sha256(kept).hexdigest()}
                 rows.append(row | ({"kept_text": kept.decode("utf-8", "replace")} if with_text else {}))
                 if len(rows) == 2000:
                     yield rows_of(schema, rows)
@@ -516,37 +545,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
         raise ValueError(f"{id_col} must be integral")
     parts = shuffle_parts(docs.sparkSession)
-    x = docs.select(F.xxhash64(id_col, text_col).alias("rk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartition(parts, "rk")
+    rk = F.xxhash64(id_col, text_col)
+    x = docs.select(F.shiftrightunsigned(rk, 33).cast("int").alias("tag"), rk.alias("rk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartition(parts, "tag")
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartitionById(parts, F.col("part"))
 
-    def back(df: DataFrame, name: str) -> DataFrame:
-        """What came back, a row for each owner."""
-        return dealt(df).mapInArrow(_gather, "rk long, found binary").withColumnRenamed("found", name)
+    def back(df: DataFrame) -> DataFrame:
+        """What came back, a row for each tag."""
+        return dealt(df).mapInArrow(_gather, "tag int, found binary, rks array<long>, places array<binary>")
 
     state = x
     for level in range(1, LEVELS + 2):
         sent = dealt(state.mapInArrow(_named(width, level, parts, name_bits), WIRE)).sortWithinPartitions("bucket")
-        lone = back(sent.mapInArrow(_lone(parts), BACK), f"lone{level}")
-        state = state.join(lone.hint("shuffle_hash"), "rk", "left")
+        lone = back(sent.mapInArrow(_lone(parts), BACK)).select("tag", F.col("found").alias(f"lone{level}"))
+        state = state.join(lone.hint("shuffle_hash"), "tag", "left")
     sent = dealt(state.mapInArrow(_passages(width, parts, name_bits), _CUT)).sortWithinPartitions("bucket")
-    places = back(sent.mapInArrow(_compare(width, parts), BACK), "found")
-    out = x.join(places.hint("shuffle_hash"), "rk", "left").select("rk", "id", "text", "found")
-    return _with_ids(out, docs, id_col, width, with_text)
-
-
-def _with_ids(out: DataFrame, docs: DataFrame, id_col: str, width: int, with_text: bool) -> DataFrame:
-    run = _cut(width, with_text)
-
-    def keyed(batches):
-        for batch in batches:
-            at = 0
-            for made in run([batch]):
-                ids = batch.column(1).slice(at, made.num_rows)
-                at += made.num_rows
-                yield pa.RecordBatch.from_arrays([ids, *made.columns[1:]], names=["id", *made.schema.names[1:]])
-
-    ddl = "id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    made = out.mapInArrow(keyed, ddl)
+    places = back(sent.mapInArrow(_compare(width, parts), BACK)).select("tag", "rks", "places")
+    out = x.join(places.hint("shuffle_hash"), "tag", "left").select("rk", "id", "text", "rks", "places")
+    made = out.mapInArrow(_cut(width, with_text), "id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else ""))
     return made.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), *made.columns[1:])

@@ -3,7 +3,7 @@
 A change adds a document (+1, +tokens), takes one away (-1, -tokens) or revises a count (0, new - old). Totals are sums
 by source, language and tokenizer version, so batches add up in any order. A batch is written under its own name in
 one step, replacing what an attempt before it left; a batch whose name is committed already is left alone. So applying a batch twice, or again after a
-crash, changes nothing. compact() folds committed batches into one table, whose rows name the batches it holds.
+crash, changes nothing. compact() folds committed batches into one table, and their names into another.
 """
 
 from __future__ import annotations
@@ -72,11 +72,20 @@ def revisions(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.withColumns({c: -F.col(c) for c in SUMS}).unionByName(after)
 
 
+def revised(docs: DataFrame, old: str, new: str, tokenizer: str) -> DataFrame:
+    """Changes that take the counts in column old to those in column new, of documents that stay; null counts as 0."""
+    by = F.coalesce(F.col(new), F.lit(0)) - F.coalesce(F.col(old), F.lit(0))
+    none = F.lit(0).cast("long")
+    return docs.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), none.alias("n_docs"), by.cast("long").alias("n_tokens"), none.alias("n_bytes"))
+
+
 class Rollup:
     """Totals in a folder that driver and executors share.
 
     Null sources, languages and tokenizers are keys of their own. Keys whose sums are all zero are not returned. A batch
     name is letters, digits, - and _; its changes are added up before they are written, so a batch holds a row a key.
+    The driver lists the batches that no compaction has folded yet; names of folded ones stay in tables, a new one for
+    each compaction, and are looked up there.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -99,40 +108,47 @@ class Rollup:
         """Commits a batch of changes; False if it was committed before."""
         if not batch.replace("-", "a").replace("_", "a").isalnum():
             raise ValueError(f"not a batch name: {batch!r}")
-        if batch in self._names("batches") or batch in self._folded()[1]:
+        if batch in self._names("batches") or self._folded([batch]):
             return False
         sums = changes.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS))
         sums.write.mode("overwrite").parquet(f"{self.path}/batches/{batch}")
         return True
 
-    def _folded(self) -> tuple[str | None, set[str]]:
-        """The newest compacted table and the batches in it."""
-        names = self._names("compact")
-        if not names:
-            return None, set()
-        rows = self.spark.read.schema("batch string").json(f"{self.path}/compact/{names[-1]}/names").collect()
-        return names[-1], {r.batch for r in rows}
+    def _folded(self, batches: list[str]) -> set[str]:
+        """Which of these batches a compaction holds."""
+        paths = [f"{self.path}/compact/{v}/names" for v in self._names("compact")]
+        if not paths or not batches:
+            return set()
+        rows = self.spark.read.schema("batch string").parquet(*paths).filter(F.col("batch").isin(batches))
+        return {r.batch for r in rows.distinct().collect()}
+
+    def _open(self) -> tuple[list[str], list[str], str | None]:
+        """Batches that no compaction holds; those that one does, whose files a crash has left; the newest compaction."""
+        there, held = self._names("batches"), self._names("compact")
+        folded = self._folded(there)
+        return [b for b in there if b not in folded], sorted(folded), held[-1] if held else None
 
     def totals(self) -> DataFrame:
-        base, folded = self._folded()
-        paths = [f"{self.path}/batches/{b}" for b in self._names("batches") if b not in folded]
-        if base:
-            paths.append(f"{self.path}/compact/{base}/sums")
+        """(source, lang, tokenizer, n_docs, n_tokens, n_bytes): one row a key."""
+        batches, _, base = self._open()
+        paths = [f"{self.path}/batches/{b}" for b in batches] + ([f"{self.path}/compact/{base}/sums"] if base else [])
         if not paths:
             return self.spark.createDataFrame([], TABLE)
         sums = self.spark.read.schema(TABLE).parquet(*paths).groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS))
         return sums.filter(" OR ".join(f"{c} <> 0" for c in SUMS))
 
     def compact(self) -> None:
-        """Folds all committed batches into a new table; the batches' own files go once it is committed."""
-        base, folded = self._folded()
-        batches = self._names("batches")
-        if not set(batches) - folded:
-            return
-        to = f"{self.path}/compact/{int((base or 'v0')[1:]) + 1:08d}".replace("/compact/", "/compact/v")
-        self.totals().write.mode("overwrite").parquet(f"{to}/sums")
-        self.spark.createDataFrame([(b,) for b in sorted(folded | set(batches))], "batch string").coalesce(1).write.mode("overwrite").json(f"{to}/names")
-        fs, p = self._fs(f"{to}/_SUCCESS")
-        fs.create(p, True).close()
-        for b in batches:
+        """Folds all committed batches into a new table; the batches' own files go once it is committed.
+
+        Its _SUCCESS comes last: a crash before leaves the batches in force, one after leaves files that no one reads.
+        """
+        batches, done, base = self._open()
+        if batches:
+            to = f"{self.path}/compact/v{int(base[1:]) + 1 if base else 1:08d}"
+            self.totals().write.mode("overwrite").parquet(f"{to}/sums")
+            self.spark.createDataFrame([(b,) for b in batches], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{to}/names")
+            fs, p = self._fs(f"{to}/_SUCCESS")
+            fs.create(p, True).close()
+        fs, _ = self._fs(self.path)
+        for b in batches + done:
             fs.delete(self._hadoop.Path(f"{self.path}/batches/{b}"), True)

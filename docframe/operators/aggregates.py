@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import checksum
+from ..storage import checkpointed
 
 OPS = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}
 
@@ -36,31 +40,47 @@ def columnar(df: DataFrame, field: str) -> DataFrame:
     )
 
 
-def field_stats(df: DataFrame, fields: list[str], exact: bool = True) -> DataFrame:
-    """A row for each field: total_rows, distinct, selectivity, least and greatest (as text), from one pass.
+def field_stats(df: DataFrame, fields: list[str], exact: bool = False) -> DataFrame:
+    """A row for each field: total_rows, distinct, selectivity, least and greatest (as text).
 
-    exact counts by hash sets; without it, distinct is a sketch and needs no shuffle of values.
+    By default distinct is a sketch: one pass, partial aggregates only. exact counts the values of one field after
+    another, each from its own column, by value first, so that a hot value is one row a task.
     """
-    distinct = F.count_distinct if exact else F.approx_count_distinct
+    names = ("field", "total_rows", "distinct", "selectivity", "least", "greatest")
+
+    def row(f: str, n: Column, d: Column, lo: Column, hi: Column) -> list[Column]:
+        return [x.alias(name) for x, name in zip((F.lit(f), n, d, d / n, lo.cast("string"), hi.cast("string")), names, strict=True)]
+
+    if exact:
+        each = [df.groupBy(F.col(f).alias("v")).agg(F.count("*").alias("n")).agg(*row(f, F.coalesce(F.sum("n"), F.lit(0)), F.count("v"), F.min("v"), F.max("v"))) for f in fields]
+        return reduce(DataFrame.unionByName, each)
     aggs = [F.count("*").alias("n")]
-    for f in fields:
-        aggs += [distinct(F.col(f)).alias(f"d_{f}"), F.min(f).cast("string").alias(f"lo_{f}"), F.max(f).cast("string").alias(f"hi_{f}")]
-    one = df.agg(*aggs)
-    rows = F.array(*(F.struct(F.lit(f).alias("field"), F.col("n").alias("total_rows"), F.col(f"d_{f}").alias("distinct"), (F.col(f"d_{f}") / F.col("n")).alias("selectivity"), F.col(f"lo_{f}").alias("least"), F.col(f"hi_{f}").alias("greatest")) for f in fields))
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+    for i, f in enumerate(fields):
+        aggs += [F.approx_count_distinct(f).alias(f"d{i}"), F.min(f).alias(f"lo{i}"), F.max(f).alias(f"hi{i}")]
+    rows = F.array(*(F.struct(*row(f, F.col("n"), F.col(f"d{i}"), F.col(f"lo{i}"), F.col(f"hi{i}"))) for i, f in enumerate(fields)))
+    return df.agg(*aggs).select(F.explode(rows).alias("r")).select("r.*")
 
 
 def nearest_rank(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
     """Exact nearest-rank percentiles: the value at place floor(n * share) of each group, counted from 0.
 
-    Ranks are numbered in sorted partitions, so no group is held in memory.
+    Equal values are counted first. The distinct ones are dealt in ranges of (key, value); a range's sum of counts is
+    one row a key, and places are numbered within ranges, so that no group has to fit into one task.
     """
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy(key)
-    rows = df.filter(F.col(value).isNotNull()).select(key, value).withColumns({"r": F.row_number().over(w.orderBy(value)), "n": F.count("*").over(w)})
-    at = {name: F.max(F.when(F.col("r") == F.least(F.floor(F.col("n") * share) + 1, F.col("n")), F.col(value))).alias(name) for name, share in shares.items()}
-    return rows.groupBy(key).agg(F.min(value).alias("least"), F.max(value).alias("greatest"), *at.values())
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    dealt = checkpointed(counts.repartitionByRange(F.col("k"), F.col("v")).withColumn("range", F.spark_partition_id()))
+    by_key = Window.partitionBy("k")
+    sums = dealt.groupBy("k", "range").agg(F.sum("c").alias("s"))
+    before = F.coalesce(F.sum("s").over(by_key.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(F.col("k").alias("of"), F.col("range").alias("in"), before.alias("before"), F.sum("s").over(by_key).alias("n"))
+    rows = dealt.join(sums, F.col("k").eqNullSafe(F.col("of")) & (F.col("range") == F.col("in")))
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy("k", "range").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("upto", upto)
+    at = []
+    for name, share in shares.items():
+        place = F.least(F.floor(F.col("n") * share) + 1, F.col("n"))
+        at.append(F.max(F.when((F.col("upto") >= place) & (F.col("upto") - F.col("c") < place), F.col("v"))).alias(name))
+    return rows.groupBy(F.col("k").alias(key)).agg(F.min("v").alias("least"), F.max("v").alias("greatest"), *at)
 
 
 def percentiles(df: DataFrame, key: str, value: str, shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:

@@ -1,6 +1,7 @@
 """Collections and the database facade.
 
-A collection is a DataFrame under a name. Changes make new DataFrames; nothing is stored until it is written.
+A collection is a DataFrame under a name. Changes make new DataFrames; nothing is stored until it is written. For many
+writes use operators.logged, whose plans don't grow with them.
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 import re
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +83,7 @@ class Collection:
         kinds = self.df.schema
         full = [{"id": i, "created_at": now, "updated_at": now, "version": 1} | r for i, r in zip(ids, rows, strict=True)]
         self._set(self.df.unionByName(self.db.spark.createDataFrame([tuple(r.get(f.name) for f in kinds) for r in full], kinds)))
+        self.db.events.emit("record.inserted", collection=self.name, ids=ids)
         return ids
 
     def insert_df(self, rows: DataFrame) -> None:
@@ -93,29 +96,66 @@ class Collection:
         if "version" in self.df.columns and "version" not in values:
             new["version"] = F.when(hit, F.col("version") + 1).otherwise(F.col("version"))
         self._set(self.df.withColumns(new))
+        self.db.events.emit("record.updated", collection=self.name, fields=sorted(values))
 
     def update(self, id_value, values: dict, id_col: str = "id") -> None:
         self.update_many(F.col(id_col) == id_value, values)
 
     def delete_many(self, where: Column) -> None:
         self._set(self.df.filter(~F.coalesce(where, F.lit(False))))
+        self.db.events.emit("record.deleted", collection=self.name)
 
     def delete(self, *ids, id_col: str = "id") -> None:
         self.delete_many(predicate(F.col(id_col), "in", list(ids)))
 
 
+class EventBus:
+    """Callbacks by topic: collection.created, collection.dropped, record.inserted, record.updated, record.deleted.
+
+    Callbacks run on the driver, with the collection's name and what the call was given; their errors are kept, not raised.
+    """
+
+    TOPICS = ("collection.created", "collection.dropped", "record.inserted", "record.updated", "record.deleted")
+
+    def __init__(self):
+        self._held: dict[str, tuple[str, Callable]] = {}
+        self.errors: list[tuple[str, Exception]] = []
+
+    def on(self, topic: str, callback: Callable) -> str:
+        """A handle for off()."""
+        handle = uuid.uuid4().hex
+        self._held[handle] = (topic, callback)
+        return handle
+
+    def off(self, handle: str) -> bool:
+        return self._held.pop(handle, None) is not None
+
+    def emit(self, topic: str, **about) -> int:
+        """Calls a topic's callbacks in the order in which they came; how many there were."""
+        mine = [f for t, f in self._held.values() if t == topic]
+        for f in mine:
+            try:
+                f(about)
+            except Exception as e:  # noqa: BLE001
+                self.errors = [*self.errors[-99:], (topic, e)]
+        return len(mine)
+
+
 class Database:
     """Named collections, SQL over them, and a history of statements. Indexes are names only: scans prune by statistics."""
 
     SLOW_MS, KEPT = 100.0, 1000
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.tables, self.indexes = spark, {}, {}
+        self.spark, self.tables, self.indexes, self.events = spark, {}, {}, EventBus()
         self.statements: list[tuple[str, float, str | None]] = []
 
     def register(self, name: str, df: DataFrame) -> Collection:
+        new = name not in self.tables
         self.tables[name] = df
         df.createOrReplaceTempView(name)
+        if new:
+            self.events.emit("collection.created", collection=name)
         return Collection(self, name)
 
     def collection(self, name: str) -> Collection:
@@ -130,6 +170,7 @@ class Database:
         del self.tables[name]
         self.spark.catalog.dropTempView(name)
         self.indexes = {k: v for k, v in self.indexes.items() if v[0] != name}
+        self.events.emit("collection.dropped", collection=name)
 
     def stats(self) -> dict[str, int]:
         return {name: df.count() for name, df in self.tables.items()}
@@ -161,8 +202,8 @@ class Database:
             rows = self.spark.sql(f"SELECT * FROM ({body})").toDF(*names)
             rows = rows.select(*((F.col(f.name) if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in old.schema))
             self.register(name, old.unionByName(rows))
-        elif m := re.fullmatch(r"(?is)UPDATE\s+(\w+)\s+SET\s+(.*?)(?:\s+WHERE\s+(.*))?", s):
-            name, sets, where = m.groups()
+        elif m := re.fullmatch(r"(?is)UPDATE\s+(\w+)\s+SET\s+(.*)", s):
+            name, (sets, where) = m[1], _at_where(m[2])
             values = {k.strip(): F.expr(v) for k, v in (x.split("=", 1) for x in _commas(sets))}
             self.collection(name).update_many(F.expr(where) if where else F.lit(True), values)
         elif m := re.fullmatch(r"(?is)DELETE\s+FROM\s+(\w+)(?:\s+WHERE\s+(.*))?", s):
@@ -182,6 +223,15 @@ class Database:
         return None
 
 
+def _at_where(text: str) -> tuple[str, str | None]:
+    """What stands before and behind the first WHERE outside quotes and brackets."""
+    bare = re.sub(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`""", lambda m: "x" * len(m[0]), text)
+    while (inner := re.sub(r"\([^()]*\)", lambda m: "x" * len(m[0]), bare)) != bare:
+        bare = inner
+    m = re.search(r"(?i)\sWHERE\s", bare)
+    return (text[: m.start()], text[m.end() :]) if m else (text, None)
+
+
 def _commas(text: str) -> list[str]:
     """Parts between commas that stand in no brackets or quotes."""
     out, depth, quote, part = [], 0, "", ""

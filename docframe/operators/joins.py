@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import array_path, predicate
+from ..functions import array_path, known, predicate
 
 
 def nested(left: DataFrame, right: DataFrame, on: tuple[str, str], how: str = "left", as_: str = "joined", order: str | None = None) -> DataFrame:
@@ -52,7 +52,81 @@ def nested_chain(joined: DataFrame, id_of: Column, array: str, key: str, right:
 
 def where_any(joined: DataFrame, arrays: list[str], field: str, op: str, value) -> DataFrame:
     """Rows of which any joined struct satisfies the predicate."""
-    return joined.filter(reduce(lambda a, b: a | b, (F.exists(a, lambda x: predicate(x[field], op, value)) for a in arrays)))
+    return joined.filter(reduce(lambda a, b: a | b, (F.exists(a, lambda x: known(predicate(x[field], op, value))) for a in arrays)))
+
+
+class JoinQuery:
+    """A chain of calls over nested joins: rows of left, a struct, and arrays of joined structs.
+
+    A path is a field of the left row; `array.field`, the field of the first joined row; or `array[].field`, that of all.
+    As in the builder, sort keys and selected columns are kept beside the rows, so that calls come in any order.
+    """
+
+    def __init__(self, joined: DataFrame, orders: tuple[Column, ...] = (), columns: tuple[Column, ...] = ()):
+        self._rows, self._orders, self._columns = joined, orders, columns
+
+    def _with(self, rows: DataFrame) -> JoinQuery:
+        return JoinQuery(rows, self._orders, self._columns)
+
+    def _col(self, path: str) -> Column:
+        array, dot, field = path.partition(".")
+        name = array.removesuffix("[]")
+        if not dot or name == "left" or name not in self._rows.columns:
+            return F.col(f"left.{path.removeprefix('left.')}")
+        return array_path(F.col(name), field, first=not array.endswith("[]"))
+
+    @property
+    def _sorted(self) -> DataFrame:
+        return self._rows.orderBy(*self._orders) if self._orders else self._rows
+
+    @property
+    def df(self) -> DataFrame:
+        return self._sorted.select(*self._columns) if self._columns else self._sorted
+
+    def where(self, path: str, op: str, value) -> JoinQuery:
+        """Of an array[] path any element may satisfy the predicate."""
+        c = self._col(path)
+        if "[]." in path:
+            return self._with(self._rows.filter(F.exists(c, lambda x: known(predicate(x, op, value)))))
+        return self._with(self._rows.filter(predicate(c, op, value)))
+
+    def where_any(self, field: str, op: str, value, arrays: list[str] | None = None) -> JoinQuery:
+        names = arrays or [c for c, k in self._rows.dtypes if k.startswith("array<struct")]
+        names = [n for n in names if field in self._rows.schema[n].dataType.elementType.fieldNames()]
+        return self._with(where_any(self._rows, names, field, op, value))
+
+    def where_fn(self, fn: Callable) -> JoinQuery:
+        """fn(DataFrame) returns a Column; null is false."""
+        return self._with(self._rows.filter(fn(self._rows)))
+
+    def order_by(self, path: str, desc: bool = False) -> JoinQuery:
+        """Nulls last in ascending order, first in descending; the later call is the major key."""
+        c = self._col(path)
+        return JoinQuery(self._rows, (c.desc_nulls_first() if desc else c.asc_nulls_last(), *self._orders), self._columns)
+
+    def limit(self, n: int) -> JoinQuery:
+        return self._with(self._sorted.limit(n)) if n > 0 else self
+
+    def skip(self, n: int) -> JoinQuery:
+        return self._with(self._sorted.offset(n))
+
+    def select(self, **paths: str) -> JoinQuery:
+        return JoinQuery(self._rows, self._orders, tuple(self._col(p).alias(name) for name, p in paths.items()))
+
+    def aggregate(self, path: str, op: str) -> DataFrame:
+        """A scalar, value; the elements of an array[] path count one by one, and count counts rows."""
+        if op == "count":
+            return self._rows.agg(F.count("*").alias("value"))
+        c = F.explode(self._col(path)) if "[]." in path else self._col(path)
+        return self._rows.select(c.alias("v")).agg(getattr(F, op)("v").alias("value"))
+
+    def group_by(self, path: str, over: str, op: str = "count", name: str = "value") -> DataFrame:
+        c = F.explode_outer(self._col(over)) if "[]." in over else self._col(over)
+        rows = self._rows.select(self._col(path).alias("key"), c.alias("v"))
+        return rows.groupBy("key").agg(F.coalesce(getattr(F, op)("v"), F.lit(0)).alias(name))
+
+    def count(self) -> int:
+        return self._rows.count()
 
 
 def aggregate(joined: DataFrame, array: str, field: str, op: str) -> DataFrame:
@@ -70,7 +144,8 @@ def group_by(joined: DataFrame, key: Column, array: str, field: str, op: str = "
 def linked(target: DataFrame, source: DataFrame, target_id: str, source_ref: str, name: str, compute: Column | Callable) -> DataFrame:
     """A field computed for each target row from the source rows that refer to it.
 
-    compute is an aggregate Column; or a callable from a pandas DataFrame to a double, which gets one group at a time.
+    compute is an aggregate Column; or a callable from a pandas DataFrame to a double, which gets one group at a time
+    and so needs groups that fit into a task.
     """
     if isinstance(compute, Column):
         groups = source.groupBy(F.col(source_ref).alias("_ref")).agg(compute.alias(name))

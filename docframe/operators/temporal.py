@@ -43,7 +43,11 @@ def changes_between(log: DataFrame, start, end=None) -> DataFrame:
 
 
 def restored(log: DataFrame, id_value, version: int, at: Column, fields: list[str], exact: bool = False, id_col: str = "id") -> DataFrame:
-    """The log row that restores a version: its fields over the current ones, or, exact, its fields alone."""
+    """The log row that restores a version: its fields over the current ones, or, exact, its fields alone.
+
+    A log's columns can't tell a field that is null from one that isn't there: a merge takes null for not there and
+    keeps the current value, exact restores the null. A deleted record isn't restored.
+    """
     now = snapshot(log.filter(F.col(id_col) == id_value), None, id_col)
     old = log.filter((F.col(id_col) == id_value) & (F.col("version") == version)).select(F.col(id_col).alias("_id"), *(F.col(f).alias(f"_{f}") for f in fields))
     merged = [(F.col(f"_{f}") if exact else F.coalesce(f"_{f}", f)).alias(f) for f in fields]
@@ -116,6 +120,13 @@ def events_of(log: DataFrame, fields: list[str], id_col: str = "id") -> DataFram
     return log.select(id_col, "version", "at", op.alias("op"), data.alias("data"), F.lag(data).over(w).alias("old_data"))
 
 
+def filtered(events: DataFrame, op: str | None = None, where: Column | None = None, limit: int | None = None, order: str = "at") -> DataFrame:
+    """The first events, in order, of an operation and of what `where` holds for (a collection, say)."""
+    out = events if op is None else events.filter(F.col("op") == op)
+    out = out if where is None else out.filter(where)
+    return out if limit is None else out.orderBy(order).limit(limit)
+
+
 def recent(events: DataFrame, n: int, order: str = "at") -> DataFrame:
     return events.orderBy(F.col(order).desc()).limit(n).orderBy(order)
 
@@ -149,6 +160,16 @@ def ts_latest(series: DataFrame) -> DataFrame:
     return series.groupBy("metric").agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"))
 
 
+def ts_metrics(series: DataFrame) -> DataFrame:
+    """(metric, points, since, upto) of each series."""
+    return series.groupBy("metric").agg(F.count("*").alias("points"), F.min("ts").alias("since"), F.max("ts").alias("upto"))
+
+
+def ts_totals(series: DataFrame) -> DataFrame:
+    """One row: number of series and of points. Series are counted from partial sums by metric."""
+    return series.groupBy("metric").agg(F.count("*").alias("n")).agg(F.count("*").alias("series"), F.coalesce(F.sum("n"), F.lit(0)).alias("points"))
+
+
 def ts_aggregate(series: DataFrame) -> DataFrame:
     return series.groupBy("metric").agg(F.sum("value").alias("sum"), F.avg("value").alias("avg"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("value").alias("count"))
 

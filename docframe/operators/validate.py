@@ -1,17 +1,17 @@
 """Checks of fields, as columns."""
 
-from __future__ import annotations
-
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class Field:
-    """One field's rules. validator is a callable from Column to Column, or with python=True from value to bool."""
+    """One field's rules. validator is a callable from Column to Column; with batches=True from a pandas series to one of
+    bools, by Arrow batches; with python=True from value to bool, a row at a time."""
 
     type: str | None = None
     required: bool = False
@@ -24,6 +24,7 @@ class Field:
     choices: tuple | None = None
     validator: Callable | None = None
     python: bool = False
+    batches: bool = False
 
     def coerced(self, c: Column) -> Column:
         if self.type == "boolean":
@@ -32,6 +33,17 @@ class Field:
             c = c.try_cast(self.type)
         return c if self.default is None else F.coalesce(c, F.lit(self.default))
 
+    def _judged(self, c: Column) -> Column:
+        if self.batches:
+            check = self.validator
+
+            @F.pandas_udf("boolean")
+            def judge(values: pd.Series) -> pd.Series:
+                return check(values).fillna(False).astype(bool)
+
+            return judge(c)
+        return F.udf(lambda v: bool(self.validator(v)), "boolean")(c) if self.python else self.validator(c)
+
     def errors(self, name: str, raw: Column, c: Column, kind: str) -> list[Column]:
         checks: list[tuple[Column, str]] = []
         if self.required:
@@ -52,7 +64,7 @@ class Field:
         if self.choices is not None:
             checks.append((~c.isin(list(self.choices)), "choices"))
         if self.validator is not None:
-            ok = F.udf(lambda v: bool(self.validator(v)), "boolean")(c) if self.python else self.validator(c)
+            ok = self._judged(c)
             checks.append((c.isNotNull() & ~F.coalesce(ok, F.lit(False)), "validator"))
         return [F.when(F.coalesce(bad, F.lit(False)), F.lit(f"{name}: {what}")) for bad, what in checks]
 
