@@ -254,8 +254,8 @@ def _order(percent: int, id_type: pa.DataType):
     their order isn't known here: LATE rows hold them, pos being where they begin and h how many the prefix takes."""
     schema = _arrow(FOUND, id_type)
 
-    def filled(kind: int, n: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(columns.get(f.name, pa.nulls(n, f.type)) for f in list(schema)[1:])], schema=schema)
+    def filled(kind: int, rows: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(rows, kind, np.int32)), *(columns.get(f.name, pa.nulls(rows, f.type)) for f in list(schema)[1:])], schema=schema)
 
     def run(batches):
         for passed, rows in _split(batches, (BACK,)):
