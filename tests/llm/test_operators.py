@@ -490,7 +490,7 @@ def test_bad_hosts_go_and_small_ones_are_saved(spark):
     from .conftest import prose
 
     good = lambda i: prose(i, 60)
-    rows = [(i, good(i) if i % 10 else "short", f"h{i % 20}") for i in range(600)]
+    rows = [(i, good(i) if i // 20 % 10 else "short", f"h{i % 20}") for i in range(600)]
     rows += [(1000 + i, good(i) if i < 3 else "short", "bad") for i in range(30)] + [(2000, "short", "tiny"), (2001, good(7), None), (2002, good(8), None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r["doc_id"]: r for r in quality.judge(df).collect()}
