@@ -21,6 +21,8 @@ U64 = np.uint64
 M1, M2, M3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 #: Texts and bytes of text that one flush of a mapper holds at most (a longer text is a flush of its own); owners are uint16.
 FLUSH_TEXTS, FLUSH_BYTES, HASH_BYTES = 60_000, 4_000_000, 500_000
+#: Bytes of an Arrow batch that Spark hands to a Python worker where an operator writes or checkpoints.
+ARROW_BYTES = 8_000_000
 BASE = 0x2545F4914F6CDD1D | 1
 
 BYTES = np.arange(256, dtype=np.uint8)
@@ -49,19 +51,34 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of ARROW_BYTES at most while a job runs: rows of text or blobs would fill the default's 64 MB, which
+    the JVM and the worker hold at once. What the session had set comes back afterwards; only cost depends on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(ARROW_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df computed once, its lineage cut at files in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    with small_batches(df.sparkSession):
+        return df.checkpoint()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read from there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docframe/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -183,13 +200,13 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def flushes(batches, text: str):
-    """Cuts record batches into slices that hold FLUSH_BYTES of text or one text, so that memory is bounded."""
+def flushes(batches, text: str, size: int = FLUSH_BYTES):
+    """Cuts record batches into slices that hold size bytes of text or one text, so that memory is bounded."""
     for batch in batches:
         off = lengths(batch.column(batch.schema.get_field_index(text)))
         at, n = 0, batch.num_rows
         while at < n:
-            to = int(np.searchsorted(off, off[at] + FLUSH_BYTES, "right")) - 1
+            to = int(np.searchsorted(off, off[at] + size, "right")) - 1
             to = min(max(to, at + 1), n, at + FLUSH_TEXTS)
             yield batch.slice(at, to - at)
             at = to

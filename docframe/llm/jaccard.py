@@ -35,6 +35,8 @@ HOT, HOT_SHARE = 32, 64
 HOT_DF = 0xFFFFFFFF
 #: Owners of a shingle that are joined all with all; rows of a shingle that meet in one task.
 CHUNK, SPLIT = 16, 512
+#: Bytes of text that a task hashes at a time: its arrays take about thirty times as much.
+SCAN_BYTES = 2_000_000
 #: Buckets for each partition; a task holds one at a time. Entries that a task gathers before it sends them on.
 BUCKETS, HELD = 4, 1_000_000
 #: Rows of the most common hot shingles that are broadcast.
@@ -132,11 +134,11 @@ def _scan(width: int, parts: int, id_type: pa.DataType):
     schema = _arrow(WIRE, id_type)
 
     def run(batches):
-        for batch in flushes(batches, "text"):
-            words = Words(*utf8(batch.column(1)), LOWER, SPACES)
-            s, own = shingle_sets(words, width)
-            n = np.bincount(own, minlength=words.n_texts)
-            sums = np.zeros(words.n_texts, U64)
+        for batch in flushes(batches, "text", SCAN_BYTES):
+            texts = batch.num_rows
+            s, own = shingle_sets(Words(*utf8(batch.column(1)), LOWER, SPACES), width)
+            n = np.bincount(own, minlength=texts)
+            sums = np.zeros(texts, U64)
             if len(s):
                 heads = runs(own)
                 sums[own[heads]] = np.add.reduceat(mix(s + U64(width)), heads)
@@ -144,7 +146,7 @@ def _scan(width: int, parts: int, id_type: pa.DataType):
             at = [pa.array(np.full(len(n), META, np.int32)), pa.array((cls % U64(parts)).astype(np.int32)), pa.array(np.full(len(n), -1, np.int32))]
             yield pa.RecordBatch.from_arrays([*at, batch.column(0), pa.array(n.astype(np.int64)), pa.array(cls.view(np.int64), mask=n == 0), *[pa.nulls(len(n), pa.binary())] * 5], schema=schema)
             # exact copies within the flush send their shingles once
-            first = np.zeros(words.n_texts, bool)
+            first = np.zeros(texts, bool)
             first[np.unique(cls, return_index=True)[1]] = True
             s, own = s[first[own]], own[first[own]]
             if not len(s):
