@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from docframe.llm import decontaminate, jaccard, mixing, quality, sharding
-from docframe.llm.common import remove, shared_dir
+from docframe.llm.common import remove, shared_dir, small_batches
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     at = f"{shared_dir(spark)}/docframe/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{i}")
+        done = stage(spark, docs, sf_dir)
+        with small_batches(spark):
+            done.write.parquet(f"{at}/{i}")
         docs = spark.read.parquet(f"{at}/{i}")
         if i:
             remove(spark, f"{at}/{i - 1}")
