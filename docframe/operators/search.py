@@ -289,7 +289,8 @@ class VectorIndex:
         drawn = df.filter(F.size(vector_col) > 0).select(vector_col).orderBy(F.xxhash64(vector_col)).limit(sample).collect()
         sizes = [len(r[0]) for r in drawn]
         d = max(set(sizes), key=lambda x: (sizes.count(x), x)) if sizes else 0
-        m = np.array([[0.0 if x is None else x for x in r[0]] for r in drawn if len(r[0]) == d], np.float64).reshape(-1, d)
+        rows = [[0.0 if x is None else x for x in r[0]] for r in drawn if len(r[0]) == d]
+        m = np.array(rows, np.float64).reshape(len(rows), d)
         m = m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-12)
         centres = m[:: max(1, len(m) // cells)][:cells].copy()
         for _ in range(cls.ROUNDS if len(m) else 0):
