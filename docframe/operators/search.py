@@ -18,17 +18,21 @@ from ..storage import checkpointed, file_system, widened
 TOKEN = "[a-z]+|[0-9]+"
 
 
-def text_search(df: DataFrame, keyword: str, order: str, limit: int = 50, columns: list[str] | None = None) -> DataFrame:
-    """The first rows, in the given order, of which any text holds the keyword in any case."""
+def text_search(df: DataFrame, keyword: str, order: str, limit: int | None = 50, columns: list[str] | None = None) -> DataFrame:
+    """The first rows, in the given order, of which any text holds the keyword in any case; without a limit all, unordered."""
     texts = columns or [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
     hit = reduce(lambda a, b: a | b, (predicate(F.col(c), "icontains", keyword) for c in texts))
-    return df.filter(hit).orderBy(order).limit(limit)
+    return _first(df.filter(hit), order, limit)
 
 
-def record_search(df: DataFrame, keyword: str, order: str, limit: int = 50, columns: list[str] | None = None) -> DataFrame:
+def record_search(df: DataFrame, keyword: str, order: str, limit: int | None = 50, columns: list[str] | None = None) -> DataFrame:
     """text_search() over the JSON text of each record, so that nested fields, numbers and names of fields are searched too."""
     text = F.to_json(F.struct(*(F.col(c) for c in columns or df.columns)), {"ignoreNullFields": "false"})
-    return df.filter(predicate(text, "icontains", keyword)).orderBy(order).limit(limit)
+    return _first(df.filter(predicate(text, "icontains", keyword)), order, limit)
+
+
+def _first(df: DataFrame, order: str, limit: int | None) -> DataFrame:
+    return df if limit is None else df.orderBy(order).limit(limit)
 
 
 def _terms(query: str) -> list[str]:

@@ -362,7 +362,7 @@ def _aggregates() -> None:
 _aggregates()
 
 
-@register("SELECT 0.0 AS total, CAST(NULL AS DOUBLE) AS mean, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_quantity < 0")
+@register("SELECT CAST(0 AS DOUBLE) AS total, CAST(NULL AS DOUBLE) AS mean, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_quantity < 0")
 def agg_of_nothing(spark, d):
     """Aggregates of no rows: sums are 0, a mean is null."""
     none = table(spark, d, "lineitem").filter("l_quantity < 0")
@@ -624,7 +624,7 @@ def vector_index_changes(spark, d):
 def record_search(spark, d):
     """Any field of the record, nested ones included, by its JSON text; names of fields count, too."""
     rows = table(spark, d, "conversations").select("conv_id", "turn", F.struct("role", "text").alias("body"))
-    found = search.record_search(rows, "ASSIST", "conv_id", 1_000_000_000, ["body"])
+    found = search.record_search(rows, "ASSIST", "conv_id", None, ["body"])
     return found.agg(F.count("*").alias("n"))
 
 
