@@ -301,14 +301,14 @@ def path_in_data_first(spark, d):
     return Query(rows).where("kind", "eq", "click").where("value", "gt", 50).select("id", "value").df
 
 
-@register("SELECT o_orderkey FROM orders WHERE CAST(o_totalprice AS BIGINT) % 10 = 3")
+@register("SELECT o_orderkey FROM orders WHERE o_totalprice > 150000")
 def where_fn_batches(spark, d):
     """A Python predicate over Arrow batches."""
-    def thirds(pdf):
-        return pdf["o_totalprice"].astype("int64") % 10 == 3
+    def dear(pdf):
+        return pdf["o_totalprice"] > 150000
 
-    thirds.batches = True
-    return Query(table(spark, d, "orders").select("o_orderkey", "o_totalprice")).where_fn(thirds).select("o_orderkey").df
+    dear.batches = True
+    return Query(table(spark, d, "orders").select("o_orderkey", "o_totalprice")).where_fn(dear).select("o_orderkey").df
 
 
 @register("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 400000 AND o_orderstatus IN ('F', 'O')")
