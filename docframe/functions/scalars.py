@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 __all__ = [
     "add", "array_path", "checksum", "concat", "csv_cell", "date_text", "divide", "duration", "length", "like", "modulo", "multiply",
-    "now", "path", "replace", "round_half_even", "shard_of", "substr", "subtract", "timestamp", "tokens", "trim",
+    "now", "path", "replace", "round_half_even", "round_scaled", "shard_of", "substr", "subtract", "timestamp", "tokens", "trim",
 ]
 
 
@@ -74,6 +74,11 @@ def round_half_even(x: Column, n: int = 0) -> Column:
     return F.bround(x, n)
 
 
+def round_scaled(x: Column, n: int = 0) -> Column:
+    """A double times 10**n, to the nearest whole number (halves away from zero), scaled back, as DuckDB rounds; F.round goes by the decimal text."""
+    return F.round(x * 10.0**n) / 10.0**n
+
+
 def like(c: Column, pattern: str, negated: bool = False) -> Column:
     """LIKE and NOT LIKE, both false for null."""
     return F.coalesce(~c.like(pattern) if negated else c.like(pattern), F.lit(False))

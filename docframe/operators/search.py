@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions import predicate, tokens
+from ..functions import predicate, round_scaled, tokens
 from ..storage import checkpointed, file_system, widened
 
 #: What tokens are: see functions.tokens.
@@ -381,7 +381,7 @@ def scored(df: DataFrame, conditions: list[Condition], threshold: float = 0.0) -
     """df with score, the weighted mean of the conditions' scores; rows under the threshold are left out."""
     weight = sum(c.weight for c in conditions)
     total = reduce(lambda a, b: a + b, (c.score() * c.weight for c in conditions), F.lit(0.0))
-    return df.withColumn("score", F.round(total / weight, 4) if weight else F.lit(0.0)).filter(F.col("score") >= threshold)
+    return df.withColumn("score", round_scaled(total / weight, 4) if weight else F.lit(0.0)).filter(F.col("score") >= threshold)
 
 
 def fused(rankings: list[DataFrame], id_col: str, k: int, weights: list[float] | None = None, constant: int = 60) -> DataFrame:
